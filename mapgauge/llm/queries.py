@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapgauge.llm import exact_dedup, mixing
+from mapgauge.llm import exact_dedup, media, mixing
 from mapgauge.llm.common import table
 
 
@@ -14,7 +14,11 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup)}
+def op8_media(spark, sf_dir):
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op8_media)}
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
