@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapgauge.llm import exact_dedup, media, mixing
+from mapgauge.llm import chat, exact_dedup, licenses, media, mixing
 from mapgauge.llm.common import table
 
 
@@ -18,11 +18,13 @@ def op8_media(spark, sf_dir):
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, op8_media)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, chat.op7_chat, op8_media, licenses.op10_licenses)}
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op7_chat": chat.ORACLE,
+    "op10_licenses": licenses.ORACLE,
     "op4_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {ASCII_LOWER} AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
