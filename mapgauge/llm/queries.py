@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapgauge.llm import chat, exact_dedup, licenses, media, mixing
+from mapgauge.llm import chat, exact_dedup, licenses, media, mixing, packing, quality
 from mapgauge.llm.common import table
 
 
@@ -18,7 +18,7 @@ def op8_media(spark, sf_dir):
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_exact_dedup, chat.op7_chat, op8_media, licenses.op10_licenses)}
+QUERIES = {f.__name__: f for f in (op2_mixing, quality.op3_quality, op4_exact_dedup, packing.op5_packing, chat.op7_chat, op8_media, licenses.op10_licenses)}
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
