@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     known = labels.select(F.col(f"`{id_col}`").alias("l_id"), F.col(f"`{label_col}`").cast("double").alias("v")).where("v IS NOT NULL AND l_id IS NOT NULL")
     known = known.where(~held_out(F.col("l_id"))).groupBy("l_id").agg(F.when(F.avg("v") >= 0.5, 1).otherwise(0).alias("label"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).where(~held_out(F.col("id")))
-    counted = {r["feature"]: (r["pos"], r["neg"]) for r in _counts(texts.join(known, F.col("id") == F.col("l_id"))).collect()}
+    counted = {r["feature"]: (r["pos"], r["neg"]) for r in _counts(texts.join(known.hint("merge"), F.col("id") == F.col("l_id"))).collect()}
     pos, neg = counted.pop(-1, (0, 0))
     if not pos or not neg:
         share = (pos + 1) / (pos + neg + 2)
@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     draw = F.pmod(F.xxhash64(F.lit(11), "l_id"), F.lit(1_000_000)) / 1e6
     few = known.where(draw < F.when(F.col("label") == 1, shares[1]).otherwise(shares[0]))
     # a table broken up by repeated identifiers could give more rows than labels: the sample has the first of each
-    sample = texts.join(few, F.col("id") == F.col("l_id")).groupBy("l_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    # the sample is bounded by fit_rows, whatever the table's size
+    sample = texts.join(F.broadcast(few), F.col("id") == F.col("l_id")).groupBy("l_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
