@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     totals = rows.groupBy("pid").agg(F.sum("n").alias("total"))
     # one row a partition of the sort
     before = F.coalesce(F.sum("total").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.join(totals.select("pid", before.alias("before")), "pid").select("id", "curve", (F.col("begin") + F.col("before")).alias("begin"), "n", "ids")
+    placed = rows.join(F.broadcast(totals.select("pid", before.alias("before"))), "pid").select("id", "curve", (F.col("begin") + F.col("before")).alias("begin"), "n", "ids")
     out = placed.mapInArrow(pieces, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
     return out.withColumnRenamed("id", id_col)
 
