@@ -6,7 +6,8 @@ for one level, found in one pass over the sources in order of cap / weight.
 
 Sampling: a source's target in words is so many whole passes over it and one fractional pass. The fractional pass takes its
 documents in a seeded random order until the words are spent; the last of them is taken in part (its first words). The
-order is cut into buckets sized by the source's row count, so a source with a third of all rows is many small windows.
+order of a source of n documents is cut into about sqrt(n) buckets, so a source with a third of all rows is many small
+windows, and one small window over its buckets.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from mapgauge.llm.common import cut, n_words, text_of
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 17
-ROWS_PER_BUCKET = 20_000
 CHUNK = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
@@ -53,12 +53,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Da
     return filled.withColumn("level", F.coalesce(first["v"], F.max(F.col("cap") / F.col("weight")).over(everything))).select("source", "source_size", "docs", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def _plan(light: DataFrame, weights, max_epochs, rows_per_bucket) -> tuple[DataFrame, DataFrame]:
+def _plan(light: DataFrame, weights, max_epochs) -> tuple[DataFrame, DataFrame]:
     """light: source, size, place. Returns a row a source, and a row a source and bucket with the words before it."""
     sources = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sources = targets(sources, weights, max_epochs)
     whole = F.round("target").cast("long")
-    sources = sources.withColumn("buckets", F.ceil(F.col("docs") / rows_per_bucket)).withColumns(
+    sources = sources.withColumn("buckets", F.ceil(F.sqrt("docs"))).withColumns(
         {
             "passes": F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long"),
             "quota": F.when(F.col("source_size") > 0, whole % F.col("source_size")).otherwise(F.lit(0)).cast("long"),
@@ -83,7 +83,7 @@ def _taken(rows: DataFrame, sources: DataFrame, buckets: DataFrame, ties: list[s
     return rows.withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, rows_per_bucket=ROWS_PER_BUCKET) -> DataFrame:
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED) -> DataFrame:
     """A row a document: id, size, source_size, target, taken, and passes and extra that make up taken.
 
     Size is the number of words (null text: 0). Sources in code point order, null last, take the weights in turn. The words
@@ -93,17 +93,17 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     size = n_words(text_of(text_col))
     light = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"))
     light = cut(light.withColumn("place", _order("id", F.col("size"), seed)))
-    sources, buckets = _plan(light, weights, max_epochs, rows_per_bucket)
+    sources, buckets = _plan(light, weights, max_epochs)
     done = _taken(light, sources, buckets, ["id", "size"])
     return done.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "passes", "extra")
 
 
-def sample_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED, rows_per_bucket=ROWS_PER_BUCKET) -> DataFrame:
+def sample_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED) -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken, its last copy with the first words only where the
     fractional pass ends inside it. Columns as in docs; n_chars, if there, follows a shortened text."""
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), text_of(text_col).alias("text"))
     marked = marked.withColumn("size", n_words(F.col("text"))).withColumn("place", _order("id", F.col("size"), seed))
-    sources, buckets = _plan(cut(marked.select("source", "size", "place")), weights, max_epochs, rows_per_bucket)
+    sources, buckets = _plan(cut(marked.select("source", "size", "place")), weights, max_epochs)
     done = _taken(marked.drop("text").withColumn("tie", F.xxhash64("doc")), sources, buckets, ["id", "size", "tie"])
     text = F.col(f"doc.`{text_col}`")
     part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), 1, F.col("extra").cast("int")), "")
