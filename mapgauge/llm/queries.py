@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapgauge.llm import chat, exact_dedup, licenses, media, mixing, ngram_join, packing, pii, quality
+from mapgauge.llm import chat, exact_dedup, licenses, line_dedup, media, mixing, ngram_join, packing, pii, quality
 from mapgauge.llm.common import table
 
 
@@ -18,7 +18,7 @@ def op8_media(spark, sf_dir):
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, quality.op3_quality, op4_exact_dedup, packing.op5_packing, pii.op6_pii, chat.op7_chat, op8_media, ngram_join.op9_ngram_join, licenses.op10_licenses)}
+QUERIES = {f.__name__: f for f in (line_dedup.op1_line_dedup, op2_mixing, quality.op3_quality, op4_exact_dedup, packing.op5_packing, pii.op6_pii, chat.op7_chat, op8_media, ngram_join.op9_ngram_join, licenses.op10_licenses)}
 
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
