@@ -27,8 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder: later reads neither recompute them nor depend on an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    # A checkpointed plan keeps the estimates of the plan before; a join multiplies sizes, so in iterative jobs they grow to
+    # numbers of millions of digits. The same rows without estimates; adaptive execution measures what it needs.
+    session = spark._jsparkSession
+    return DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
 def text_of(name: str) -> Column:
