@@ -16,4 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
         if not at and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # A checkpointed plan keeps the estimates of the plan before; a join multiplies sizes, so in iterative jobs they grow to
+    # numbers of millions of digits. The same rows without estimates; adaptive execution measures what it needs.
+    session = df.sparkSession._jsparkSession
+    return DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), df.sparkSession)
