@@ -33,7 +33,7 @@ def standard_columns() -> dict[str, Column]:
     mean = lambda c: F.col(c) / n
     return {
         "absrel": mean("s_absrel"), "sqrel": mean("s_sqrel"), "mae": mean("s_abs"), "rmse": F.sqrt(mean("s_sq")), "rmse_log": F.sqrt(mean("s_dd")), "log10": mean("s_log10"),
-        "silog": F.sqrt(F.greatest(mean("s_dd") - mean("s_d") * mean("s_d"), F.lit(0.0))), "delta1": mean("c1"), "delta2": mean("c2"), "delta3": mean("c3"),
+        "silog": F.when(F.col("n") > 0, F.sqrt(F.greatest(mean("s_dd") - mean("s_d") * mean("s_d"), F.lit(0.0)))), "delta1": mean("c1"), "delta2": mean("c2"), "delta3": mean("c3"),
     }
 
 

@@ -55,7 +55,7 @@ OK = "gt > 0 AND pred > 0"
 _SUMS = f"""count(*) FILTER ({OK}) AS n, sum(abs(pred-gt)/gt) FILTER ({OK}) AS s1, sum((pred-gt)*(pred-gt)/gt) FILTER ({OK}) AS s2, sum(abs(pred-gt)) FILTER ({OK}) AS s3,
     sum((pred-gt)*(pred-gt)) FILTER ({OK}) AS s4, sum(CASE WHEN {OK} THEN (ln(pred)-ln(gt))*(ln(pred)-ln(gt)) END) AS s5, sum(CASE WHEN {OK} THEN abs(log10(pred)-log10(gt)) END) AS s6,
     sum(CASE WHEN {OK} THEN ln(pred)-ln(gt) END) AS s7, {", ".join(f"count(*) FILTER ({OK} AND greatest(pred/gt, gt/pred) < {1.25**k!r}::DOUBLE) AS c{k}" for k in (1, 2, 3))}"""
-_TEN = "s1/nullif(n,0) AS absrel, s2/nullif(n,0) AS sqrel, s3/nullif(n,0) AS mae, sqrt(s4/nullif(n,0)) AS rmse, sqrt(s5/nullif(n,0)) AS rmse_log, s6/nullif(n,0) AS log10, sqrt(greatest(s5/nullif(n,0) - (s7/nullif(n,0))*(s7/nullif(n,0)), 0)) AS silog, c1/nullif(n,0) AS delta1, c2/nullif(n,0) AS delta2, c3/nullif(n,0) AS delta3"
+_TEN = "s1/nullif(n,0) AS absrel, s2/nullif(n,0) AS sqrel, s3/nullif(n,0) AS mae, sqrt(s4/nullif(n,0)) AS rmse, sqrt(s5/nullif(n,0)) AS rmse_log, s6/nullif(n,0) AS log10, CASE WHEN n > 0 THEN sqrt(greatest(s5/nullif(n,0) - (s7/nullif(n,0))*(s7/nullif(n,0)), 0)) END AS silog, c1/nullif(n,0) AS delta1, c2/nullif(n,0) AS delta2, c3/nullif(n,0) AS delta3"
 _M = reduce.STANDARD
 _R = lambda names: ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in names)
 
