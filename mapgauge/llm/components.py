@@ -64,7 +64,7 @@ def _star(open_: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("node", "best.rep").alias("a"), F.greatest("node", "best.rep").alias("b"), "best.shared")
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame, DataFrame | None], DataFrame], hot: int, slack: DataFrame | None = None, stars: int = 4) -> tuple[DataFrame, DataFrame | None]:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame, DataFrame | None], DataFrame], hot: int, slack: DataFrame | None = None, stars: int = 3) -> tuple[DataFrame, DataFrame | None]:
     """Finds links between nodes that share a key, up to the links that join what is joined already.
 
     members: key, node, distinct. verify takes pairs (a, b, shared: number of keys they share among those looked at) and

@@ -30,6 +30,8 @@ WORDS = 5
 PERCENT = 80
 HEADROOM = 1.3
 HOT = 48
+#: So many pairs may be broadcast: 48 bytes each.
+FEW_PAIRS = 100_000
 #: Bands below this use one-deletion neighbourhoods.
 SMALL = 32
 
@@ -202,34 +204,38 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", hot: i
     shared = Window.partitionBy("key")
     found = _signature_rows(rows).withColumns({"lo": F.min("node").over(shared), "hi": F.max("node").over(shared)})
     members = cut(found.where("lo <> hi").select("key", "node").distinct())
+    # a linked pair shares more signatures than either set may miss: sets that share fewer with all others together are out
+    slack = classes.select("node", F.least(F.when(F.col("slack0") > -2, F.col("slack0")), F.when(F.col("slack1") > -2, F.col("slack1"))).alias("slack"))
+    enough = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(slack, "node").where("n > slack").select("node")
+    members = cut(members.join(enough, "node"))
     # the elements of all sets that share a signature with another
     wanted = members.select("node").distinct().join(classes, "node").select("first", "node")
-    elements = cut(_set_rows(rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "node")).dropDuplicates(["node"]))
+    elements = cut(_set_rows(rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "node")))
     known = classes.drop("first")
 
     def verify(pairs: DataFrame, passed: DataFrame | None) -> DataFrame:
         for end in ("a", "b"):
             pairs = pairs.join(known.select(*[F.col(c).alias(end if c == "node" else f"{end}_{c}") for c in known.columns]), end)
         larger, smaller = F.greatest("a_n", "b_n"), F.least("a_n", "b_n")
-        pairs = pairs.where(100 * smaller >= PERCENT * larger)
-        if passed is not None:
-            # segments that must agree, by the set that uses fewer, less those passed over; bands with deletions aside
-            base = F.pow(F.lit(2.0), F.floor(F.log2(larger.cast("double"))))
-            for end in ("a", "b"):
+        # of the segments that the set with fewer uses, so many must agree, less those passed over; bands with deletions aside
+        base = F.pow(F.lit(2.0), F.floor(F.log2(larger.cast("double"))))
+        for end in ("a", "b"):
+            own = F.col(f"{end}_n") >= base
+            for f in ("use", "filled"):
+                pairs = pairs.withColumn(f"{end}_{f}", F.when(own, F.col(f"{end}_{f}0")).otherwise(F.col(f"{end}_{f}1")))
+            if passed is not None:
                 pairs = pairs.join(passed.select(F.col("node").alias(end), F.col("n").alias(f"{end}_passed")), end, "left")
-                own = F.col(f"{end}_n") >= base
-                for f in ("use", "filled"):
-                    pairs = pairs.withColumn(f"{end}_{f}", F.when(own, F.col(f"{end}_{f}0")).otherwise(F.col(f"{end}_{f}1")))
-            a_fewer = F.col("a_use") <= F.col("b_use")
-            must = F.when(a_fewer, F.col("a_filled")).otherwise(F.col("b_filled")) - F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT))
+        a_fewer = F.col("a_use") <= F.col("b_use")
+        must = F.when(a_fewer, F.col("a_filled")).otherwise(F.col("b_filled")) - F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT))
+        if passed is not None:
             must = must - F.coalesce(F.when(a_fewer, F.col("a_passed")).otherwise(F.col("b_passed")), F.lit(0))
-            pairs = pairs.where((base < SMALL) | (F.col("shared") >= must))
-        pairs = pairs.select("a", "b")
-        for end, name in (("a", "x"), ("b", "y")):
-            pairs = pairs.join(elements.select(F.col("node").alias(end), F.col("elements").alias(name)), end)
-        return _overlaps(pairs.select("a", "b", "x", "y"))
+        pairs = cut(pairs.where((100 * smaller >= PERCENT * larger) & ((base < SMALL) | (F.col("shared") >= must))).select("a", "b"))
+        # both sets of a pair meet in one shuffle; few pairs (counted here) are sent to the sets and not the sets to them
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+        ends = F.broadcast(ends) if pairs.count() <= FEW_PAIRS else ends
+        both = elements.join(ends, "node").groupBy("a", "b").agg(F.min("elements").alias("x"), F.max("elements").alias("y"))
+        return _overlaps(both)
 
-    slack = known.select("node", F.least(F.when(F.col("slack0") > -2, F.col("slack0")), F.when(F.col("slack1") > -2, F.col("slack1"))).alias("slack"))
     _, labels = link_buckets(members, verify, hot, slack)
     if labels is None:
         ends = classes.select(F.col("node").alias("c_node"), F.col("first").alias("component"))
