@@ -350,7 +350,7 @@ def test_line_dedup(spark):
     norm = lambda x: re.sub(line_dedup.NOISE, " ", x.translate(FOLD)).strip(" ")
     where = [(i, k, norm(x)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
     distinct = sorted({n for _, _, n in where if n})
-    sims = {r["line"]: r["sim"] for r in (lambda f: f.join(line_dedup.simhashes(f), F.xxhash64("line") == F.col("node")))(spark.createDataFrame([(x,) for x in distinct], "line string")).collect()}
+    sims = {r["line"]: r["sim"] for r in (lambda f: f.join(line_dedup.simhashes(f), "node"))(spark.createDataFrame([(x,) for x in distinct], "line string").withColumn("node", F.xxhash64("line"))).collect()}
     up = {x: x for x in distinct}
 
     def root(x):
