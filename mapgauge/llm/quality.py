@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.bytekit import flat
+from mapgauge.llm.bytekit import flat, slices
 from mapgauge.llm.common import fresh, table, text_of
 
 DIMS = 1 << 16
@@ -28,7 +28,12 @@ FOLDS, HELD_OUT = 3, 1
 
 
 def indicators(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
-    """Each text's distinct features, in order."""
+    """Each text's distinct features, in order. Works on slices of bounded size."""
+    for i, j in slices(off):
+        yield from _indicators(data[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def _indicators(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
     seen = np.zeros(DIMS, bool)
     d = data.astype(np.uint32)
     two = (d[:-1] | d[1:] << np.uint32(8)) * np.uint32(0x9E3779B1) >> np.uint32(16)
@@ -162,16 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
 def score(docs: DataFrame, model: Model, text_col="text", into: str = "score") -> DataFrame:
     """docs with the model's score of each whole text (null: empty) as a column more."""
-    keep, (text,) = list(docs.columns), fresh(docs, "whole_text")
-    rows = docs.withColumn(text, text_of(text_col))
+    keep = list(docs.columns)
+    at = keep.index(text_col)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields) + f"`{into}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.scores(*flat(batch.column(len(keep)))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s, pa.float64())], names=[*keep, into])
+            s = model.scores(*flat(batch.column(at))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*keep, into])
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality") -> DataFrame:
