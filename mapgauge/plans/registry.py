@@ -267,30 +267,39 @@ def _rgb(spark, d) -> DataFrame:
 
 _ABS = "(abs(pr-gr)+abs(pg-gg)+abs(pb-gb))/3"
 _SQ = "((pr-gr)*(pr-gr)+(pg-gg)*(pg-gg)+(pb-gb)*(pb-gb))/3"
-_abs = (F.abs(F.col("pr") - F.col("gr")) + F.abs(F.col("pg") - F.col("gg")) + F.abs(F.col("pb") - F.col("gb"))) / 3
-_sq = (F.pow(F.col("pr") - F.col("gr"), 2) + F.pow(F.col("pg") - F.col("gg"), 2) + F.pow(F.col("pb") - F.col("gb"), 2)) / 3
+def _channels(f):
+    """Mean over the colour channels of f(prediction, ground truth)."""
+    return (f(F.col("pr"), F.col("gr")) + f(F.col("pg"), F.col("gg")) + f(F.col("pb"), F.col("gb"))) / 3
+
+
+def _abs():
+    return _channels(lambda p, g: F.abs(p - g))
+
+
+def _sq():
+    return _channels(lambda p, g: F.pow(p - g, 2))
 
 
 @query(f"WITH {PX_RGB}, s AS (SELECT img, avg({_SQ}) AS mse FROM px GROUP BY img) SELECT img, round(CASE WHEN mse < 1e-10 THEN 'inf'::DOUBLE ELSE 10*log10(1/mse) END, 6) AS psnr FROM s")
 def rgb_psnr(spark, d):
-    s = _rgb(spark, d).groupBy("img").agg(F.avg(_sq).alias("mse"))
+    s = _rgb(spark, d).groupBy("img").agg(F.avg(_sq()).alias("mse"))
     return rounded(s.select("img", F.when(F.col("mse") < 1e-10, float("inf")).otherwise(10 * F.log10(1 / F.col("mse"))).alias("psnr")))
 
 
 @query(f"WITH {PX_RGB}, s AS (SELECT img, avg({_SQ}) AS mse FROM px WHERE depth > 3 GROUP BY img) SELECT img, round(10*log10(1/mse), 6) AS psnr FROM s")
 def rgb_psnr_masked(spark, d):
-    s = _rgb(spark, d).where("depth > 3").groupBy("img").agg(F.avg(_sq).alias("mse"))
+    s = _rgb(spark, d).where("depth > 3").groupBy("img").agg(F.avg(_sq()).alias("mse"))
     return rounded(s.select("img", (10 * F.log10(1 / F.col("mse"))).alias("psnr")))
 
 
 @query(f"WITH {PX_RGB} SELECT img, {', '.join(f'round(quantile_cont({_ABS}, {q}), 6) AS {n}' for n, q in (('p95', 0.95), ('p99', 0.99)))}, round(max({_ABS}), 6) AS max FROM px GROUP BY img")
 def tail_errors(spark, d):
-    return rounded(_rgb(spark, d).withColumn("e", _abs).groupBy("img").agg(F.percentile("e", 0.95).alias("p95"), F.percentile("e", 0.99).alias("p99"), F.max("e").alias("max")))
+    return rounded(_rgb(spark, d).withColumn("e", _abs()).groupBy("img").agg(F.percentile("e", 0.95).alias("p95"), F.percentile("e", 0.99).alias("p99"), F.max("e").alias("max")))
 
 
 @query(f"WITH {PX_RGB}, e AS (SELECT {_ABS} AS e FROM px) SELECT unnest([0.95, 0.99])::DOUBLE AS share, round(unnest(quantile_cont(e, [0.95, 0.99])), 6) AS value FROM e")
 def tail_errors_pooled(spark, d):
-    return rounded(reduce.exact_quantiles(_rgb(spark, d).select(_abs.alias("e")), "e", [0.95, 0.99]))
+    return rounded(reduce.exact_quantiles(_rgb(spark, d).select(_abs().alias("e")), "e", [0.95, 0.99]))
 
 
 @query(f"WITH {PX_RGB} SELECT img, " + ", ".join(f"round(quantile_cont(abs(p{c}-g{c}), {q}), 6) AS {c}_{n}" for c in "rgb" for n, q in (("p95", 0.95), ("p99", 0.99))) + " FROM px GROUP BY img")
@@ -300,7 +309,7 @@ def tail_errors_per_channel(spark, d):
 
 @query(f"WITH {PX_RGB}, e AS (SELECT img, i, j, {_ABS} AS e FROM px), q AS (SELECT img, quantile_cont(e, 0.95) AS q FROM e GROUP BY img) SELECT img, i, j, round(e, 6) AS e FROM e JOIN q USING (img) WHERE e >= q")
 def tail_mask(spark, d):
-    e = _rgb(spark, d).select("img", "i", "j", _abs.alias("e"))
+    e = _rgb(spark, d).select("img", "i", "j", _abs().alias("e"))
     q = e.groupBy("img").agg(F.percentile("e", 0.95).alias("q"))
     return rounded(e.join(q, "img").where("e >= q").drop("q"))
 
@@ -309,7 +318,7 @@ def tail_mask(spark, d):
     SELECT img, {", ".join(f"round(coalesce(avg({v}) FILTER (b = '{n}'), 0), 6) AS {m}_{n}, count(*) FILTER (b = '{n}') AS {m}_{n}_count" for m, v in (("mae", "a"), ("mse", "s")) for n in ("near", "mid", "far"))}, round(coalesce(avg(a) FILTER (b IS NOT NULL), 0), 6) AS mae_all, round(coalesce(avg(s) FILTER (b IS NOT NULL), 0), 6) AS mse_all FROM e GROUP BY img""")
 def fixed_bins_mae_mse(spark, d):
     """An empty bin scores 0; its count tells."""
-    e = _rgb(spark, d).select("img", _abs.alias("mae"), _sq.alias("mse"), masks.fixed_bin("depth").alias("bin"))
+    e = _rgb(spark, d).select("img", _abs().alias("mae"), _sq().alias("mse"), masks.fixed_bin("depth").alias("bin"))
     per = [f for m in ("mae", "mse") for b in ("near", "mid", "far") for f in (F.coalesce(F.avg(F.when(F.col("bin") == b, F.col(m))), F.lit(0.0)).alias(f"{m}_{b}"), F.count(F.when(F.col("bin") == b, 1)).alias(f"{m}_{b}_count"))]
     every = [F.coalesce(F.avg(F.when(F.col("bin").isNotNull(), F.col(m))), F.lit(0.0)).alias(f"{m}_all") for m in ("mae", "mse")]
     return rounded(e.groupBy("img").agg(*per, *every))
