@@ -10,7 +10,8 @@ bound needs (with a margin, HEADROOM). A small set uses few segments, and for ea
 element deleted: such a segment finds one difference more, so half as many are needed. Empty segments say nothing and are
 never indexed; what they take from the guarantee is counted for each set, and sets for which it fails also index the prefix
 of their elements in hash order, which every linked pair of such sets shares. Signatures of a single set are dropped at
-once. Signatures that very many sets share are passed over where the sets' margins allow (components.link_buckets).
+once. Pairs that share enough signatures are compared by parity sketches, which bound their differences from below, and what
+is left by its elements. Signatures that very many sets share are passed over where the sets' margins allow (components.link_buckets).
 """
 
 from __future__ import annotations
@@ -156,8 +157,25 @@ def _signature_rows(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "key long, node long")
 
 
+def parity(v: np.ndarray) -> bytes:
+    """One bit for each of M buckets, a power of two of at least four a element: whether its elements are odd in number."""
+    m = max(64, 1 << int(4 * len(v) - 1).bit_length())
+    return np.packbits(np.bincount((mix(v ^ np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def differences(x: bytes, y: bytes) -> int:
+    """A lower bound on the differences of two sets from their parities: each bucket whose parities differ holds one at
+    least. The larger sketch is folded to the buckets of the smaller."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _set_rows(rows: DataFrame) -> DataFrame:
-    """rows: text, node. The shingle set of each text that has this class, as sorted 64-bit hashes."""
+    """rows: text, node. The shingle set of each text that has this class, as sorted 64-bit hashes, and its parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +184,29 @@ def _set_rows(rows: DataFrame) -> DataFrame:
             for i, j in slices(off):
                 v, at = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 ok = np.flatnonzero(class_ids(v, at) == want[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(want[i:j][ok]), pa.array([v[at[k] : at[k + 1]].tobytes() for k in ok], pa.binary())], names=["node", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(want[i:j][ok]), pa.array([v[at[k] : at[k + 1]].tobytes() for k in ok], pa.binary()), pa.array([parity(v[at[k] : at[k + 1]]) for k in ok], pa.binary())], names=["node", "elements", "sketch"])
+
+    return rows.mapInArrow(run, "node long, elements binary, sketch binary")
+
+
+def _meet(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """a, b, most, x, y: what both sets of each pair have in this column. They meet in one shuffle; few pairs (counted
+    here) are sent to the sets and not the sets to them."""
+    ends = pairs.select("a", "b", "most", F.explode(F.array("a", "b")).alias("node"))
+    ends = F.broadcast(ends) if pairs.count() <= FEW_PAIRS else ends
+    both = sets.select("node", column).join(ends, "node")
+    return both.groupBy("a", "b", "most").agg(F.min(column).alias("x"), F.max(column).alias("y")).select("a", "b", "x", "y", "most")
+
+
+def _not_far(joined: DataFrame) -> DataFrame:
+    """joined: a, b, x, y (the sketches), most. The pairs that don't surely differ in more than `most` elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array([differences(x.as_py(), y.as_py()) <= most.as_py() for x, y, most in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in (0, 1, 4)], names=["a", "b", "most"])
 
-    return rows.mapInArrow(run, "node long, elements binary")
+    return joined.mapInArrow(run, "a long, b long, most long")
 
 
 def _overlaps(joined: DataFrame) -> DataFrame:
@@ -229,12 +267,11 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", hot: i
         must = F.when(a_fewer, F.col("a_filled")).otherwise(F.col("b_filled")) - F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT))
         if passed is not None:
             must = must - F.coalesce(F.when(a_fewer, F.col("a_passed")).otherwise(F.col("b_passed")), F.lit(0))
-        pairs = cut(pairs.where((100 * smaller >= PERCENT * larger) & ((base < SMALL) | (F.col("shared") >= must))).select("a", "b"))
-        # both sets of a pair meet in one shuffle; few pairs (counted here) are sent to the sets and not the sets to them
-        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-        ends = F.broadcast(ends) if pairs.count() <= FEW_PAIRS else ends
-        both = elements.join(ends, "node").groupBy("a", "b").agg(F.min("elements").alias("x"), F.max("elements").alias("y"))
-        return _overlaps(both)
+        most = F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT)).cast("long")
+        pairs = cut(pairs.where((100 * smaller >= PERCENT * larger) & ((base < SMALL) | (F.col("shared") >= must))).select("a", "b", most.alias("most")))
+        # sketches of half a byte an element leave few pairs beside the true ones
+        pairs = cut(_not_far(_meet(pairs, elements, "sketch")))
+        return _overlaps(_meet(pairs, elements, "elements"))
 
     _, labels = link_buckets(members, verify, hot, slack)
     if labels is None:
