@@ -68,7 +68,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame, DataFrame | No
     """Finds links between nodes that share a key, up to the links that join what is joined already.
 
     members: key, node, distinct. verify takes pairs (a, b, shared: number of keys they share among those looked at) and
-    what has been passed over (node, n), and returns the true links (a, b). Star rounds first verify each node against one
+    what has been passed over (node, n, bad: whether it is more than its slack), and returns the true links (a, b). Star rounds first verify each node against one
     representative of its keys and contract what is linked, so a large group of near copies costs about a pair for each of
     its nodes and round. Then the pairs of different components in each key are verified. Keys that then still have more
     than `hot` nodes are passed over where that loses nothing: slack (node, slack) says how many of a node's keys may be
@@ -97,10 +97,10 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame, DataFrame | No
         large = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
         large = cut(open_.join(large, "key"))
         small = open_.join(large.select("key").distinct(), "key", "left_anti")
-        passed = cut(large.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
-        bad = passed.join(slack, "node").where(F.col("n") > F.col("slack")).select("node")
+        passed = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        passed = cut(passed.join(slack, "node").select("node", "n", (F.col("n") > F.col("slack")).alias("bad")))
         # a pair of such nodes may share large keys only
-        pairs = _pairs(small).unionByName(_pairs(large.join(bad, "node")))
+        pairs = _pairs(small).unionByName(_pairs(large.join(passed.where("bad").select("node"), "node")))
     pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     new = cut(verify(pairs, passed))
     if not new.isEmpty():
