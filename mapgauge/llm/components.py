@@ -55,8 +55,17 @@ def _several(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star(open_: DataFrame, turn: int) -> DataFrame:
-    """One pair for each node at most: with the representative, of another component, that it shares the most keys with."""
-    order = F.col("node") if not turn else F.xxhash64(F.lit(turn), "node")
+    """One pair for each node at most: with the representative, of another component, that it shares the most keys with.
+
+    In even turns a key's representative is the node that shares the most with others: copies of one text that differ from
+    one another by more than they may are still close to that text, and it holds what they have in common. Odd turns draw.
+    """
+    if turn % 2:
+        order = F.xxhash64(F.lit(turn), "node")
+    else:
+        sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        central = cut(open_.select("key", "node").join(sizes, "key").groupBy("node").agg((-F.sum("size")).alias("order")))
+        open_, order = open_.join(central, "node"), F.col("order")
     first = F.min(F.struct(order.alias("o"), "node", "comp"))
     reps = open_.groupBy("key").agg(first.alias("r")).select("key", F.col("r.node").alias("rep"), F.col("r.comp").alias("r_comp"))
     met = open_.join(reps, "key").where("comp <> r_comp").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("shared"))
