@@ -259,18 +259,22 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", hot: i
         base = F.pow(F.lit(2.0), F.floor(F.log2(larger.cast("double"))))
         for end in ("a", "b"):
             own = F.col(f"{end}_n") >= base
-            for f in ("use", "filled"):
+            for f in ("use", "filled", "slack"):
                 pairs = pairs.withColumn(f"{end}_{f}", F.when(own, F.col(f"{end}_{f}0")).otherwise(F.col(f"{end}_{f}1")))
             if passed is not None:
                 pairs = pairs.join(passed.select(F.col("node").alias(end), F.col("n").alias(f"{end}_passed"), F.col("bad").alias(f"{end}_bad")), end, "left")
         a_fewer = F.col("a_use") <= F.col("b_use")
         must = F.when(a_fewer, F.col("a_filled")).otherwise(F.col("b_filled")) - F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT))
+        hidden = F.lit(0)
         if passed is not None:
             # a key that hides from the count has been passed over for both; of two bad nodes all keys are counted
-            hidden = F.least(*[F.coalesce(f"{end}_passed", F.lit(0)) for end in ("a", "b")])
-            must = must - F.when(F.coalesce("a_bad", F.lit(False)) & F.coalesce("b_bad", F.lit(False)), 0).otherwise(hidden)
+            least = F.least(*[F.coalesce(f"{end}_passed", F.lit(0)) for end in ("a", "b")])
+            hidden = F.when(F.coalesce("a_bad", F.lit(False)) & F.coalesce("b_bad", F.lit(False)), 0).otherwise(least)
+        must = must - hidden
+        # by each set's own bound, in all bands: one key more than may be passed over
+        must = F.greatest(F.when(base >= SMALL, must), F.greatest("a_slack", "b_slack") + 1 - hidden)
         most = F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT)).cast("long")
-        pairs = cut(pairs.where((100 * smaller >= PERCENT * larger) & ((base < SMALL) | (F.col("shared") >= must))).select("a", "b", most.alias("most")))
+        pairs = cut(pairs.where((100 * smaller >= PERCENT * larger) & (F.col("shared") >= must)).select("a", "b", most.alias("most")))
         # sketches of half a byte an element leave few pairs beside the true ones
         pairs = cut(_not_far(_meet(pairs, elements, "sketch")))
         return _overlaps(_meet(pairs, elements, "elements"))
