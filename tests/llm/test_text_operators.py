@@ -379,6 +379,17 @@ def test_line_dedup(spark):
     assert line_dedup.line_report(empty(spark)).count() == 0
 
 
+def test_long_lines_are_compared_exactly(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(3000))
+    rows = [(base, "z" * k + base) for k in (0, 120, 700, 751)] + [("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))), "".join(rng.choice("ab") for _ in range(rng.randint(0, 12)))) for _ in range(400)]
+    got = spark.createDataFrame(rows, "x string, y string").select("x", "y", line_dedup.edit_similar("x", "y").alias("ok")).collect()
+    assert [r["ok"] for r in got[:4]] == [True, True, True, False]
+    for r in got[4:]:
+        longer = max(len(r["x"]), len(r["y"]))
+        assert r["ok"] == (edit(r["x"], r["y"]) <= 0.2 * longer + 1e-9), r
+
+
 def test_licenses(spark):
     from mapgauge.llm.license_texts import TEXTS
 
