@@ -159,3 +159,16 @@ def test_manifests(spark, tmp_path):
 def test_normalise(spark):
     d = align.normalise(px(spark, [[(1, 0), (3, 0), (2, 0), (5, 0)]]), "gt", F.col("gt") < 4)
     assert [r["gt"] for r in d.orderBy("i", "j").collect()] == [0, 1, 0.5, 1]
+
+
+def test_kid_of_whole_sets_has_no_cap(spark):
+    rng = np.random.default_rng(3)
+    sets = {"gt": rng.normal(size=(1500, 5)), "pred": rng.normal(0.3, 1, size=(1100, 5))}
+    rows = [(s, i, [float(v) for v in r]) for s, x in sets.items() for i, r in enumerate(x)]
+    d = spark.createDataFrame(rows, "set string, id long, x array<double>").repartition(3)
+    k = lambda a, b: (a @ b.T / 5 + 1) ** 3
+    same = lambda a: (k(a, a).sum() - np.trace(k(a, a))) / (len(a) * (len(a) - 1))
+    want = same(sets["gt"]) + same(sets["pred"]) - 2 * k(sets["gt"], sets["pred"]).mean()
+    assert distribution.kid_full(d).first()["kid_mean"] == pytest.approx(want, abs=1e-9)
+    assert distribution.kid_full(d, moment_dims=0, block=700).first()["kid_mean"] == pytest.approx(want, abs=1e-9)
+    assert distribution.kid_full(d.where("set = 'gt'")).first()["kid_mean"] is None
