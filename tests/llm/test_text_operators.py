@@ -379,6 +379,39 @@ def test_line_dedup(spark):
     assert line_dedup.line_report(empty(spark)).count() == 0
 
 
+def test_line_dedup_finds_what_brute_force_finds(spark):
+    rng = random.Random(11)
+    voc = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    lines = []
+    for n in (1, 2, 3, 5, 8, 12, 14, 20, 27, 27, 40, 80) * 3:
+        w = [rng.choice(voc) for _ in range(n)]
+        lines.append(" ".join(w))
+        for _ in range(3):  # up to a tenth of the words, one at least
+            x = list(w)
+            for k in rng.sample(range(n), max(1, n // 10)):
+                x[k] = rng.choice(voc)
+            lines.append(" ".join(x))
+        at = rng.randrange(len(lines[-1]))
+        lines.append(lines[-1][:at] + "q" + lines[-1][at + 1 :])
+    for _ in range(60):
+        lines.append("".join(rng.choice("abc") for _ in range(rng.randint(1, line_dedup.SHORT))))
+    lines = sorted(set(lines))
+    up = list(range(len(lines)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            longer = max(len(a), len(b))
+            if root(i) != root(j) and min(len(a), len(b)) >= 0.8 * longer and edit(a, b) <= 0.2 * longer + 1e-9:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_report(table(spark, lines), distance=None).collect()}
+    assert got == {i: int(root(i) == i) for i in range(len(lines))}
+
+
 def test_long_lines_are_compared_exactly(spark):
     rng = random.Random(12)
     base = "".join(rng.choice("abcdefghij ") for _ in range(3000))
