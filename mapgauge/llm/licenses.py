@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapgauge.llm.common import LOWER, UPPER, ascii_lower, cut, table, text_of
-from mapgauge.llm.license_texts import NOTICES, TEXTS
+from mapgauge.llm.license_texts import FILES, NOTICES, TEXTS, TITLES
 
 COPYRIGHT = r"^[ \t\r*#/;-]*(copyright|\(c\)|©)"
 NOISE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{2010}-\x{201F}©®]+"
@@ -47,10 +48,24 @@ def canonical(text: str) -> list[str]:
     return out
 
 
-def known_digests(texts: dict[str, str] = TEXTS, notices: dict = NOTICES) -> list[tuple[str, str, str]]:
-    """(kind, licence, digest) of known texts and notices."""
-    sha = lambda t: hashlib.sha256(" ".join(canonical(t)).encode()).hexdigest()
-    return [("text", k, sha(v)) for k, v in texts.items()] + [("notice", k, sha(v)) for k, all_ in notices.items() for v in all_]
+#: Line lengths at which known texts are wrapped: a line that begins with 'copyright' is dropped wherever a break puts it.
+WIDTHS = range(50, 133)
+
+
+def variants(text: str, titles: tuple[str, ...] = ()) -> list[str]:
+    """The canonical forms of a text unwrapped and wrapped, without a title, with one and with a line of rights reserved."""
+    wrapped = ("\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")) for w in WIDTHS)
+    bodies = dict.fromkeys(" ".join(canonical(t)) for t in (text, *wrapped))
+    heads = [" ".join(canonical(f"{t}\n{r}")) for t in ("", *titles) for r in ("", "All rights reserved.")]
+    return [f"{h} {b}".strip(" ") for b in bodies for h in heads]
+
+
+def known_digests(texts: dict[str, str] = TEXTS, notices: dict = NOTICES, files: dict[str, str] = FILES) -> list[tuple[str, str, str]]:
+    """(kind, licence, digest) of known texts, files and notices."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    whole = [("text", k, sha(x)) for k, v in texts.items() for x in variants(v, TITLES.get(k, ()))]
+    whole += [("text", k, d) for k, d in files.items()]
+    return whole + [("notice", k, sha(" ".join(canonical(v)))) for k, all_ in notices.items() for v in all_]
 
 
 def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text", known: DataFrame | None = None) -> DataFrame:

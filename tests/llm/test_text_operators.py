@@ -433,3 +433,16 @@ def test_licenses(spark):
     assert [got[n + i]["license_id"] for i in range(4)] == ["MIT", "ISC", None, None] and all(got[i]["license_id"] is None for i in range(n))
     assert got[n + 2]["notices"] == "CC-BY-NC-4.0,MIT" and got[n]["notices"] == ""
     assert licenses.scan_licenses(empty(spark)).count() == 0
+
+
+def test_licenses_as_usual_files_have_them(spark):
+    import textwrap
+
+    from mapgauge.llm.license_texts import FILES, TEXTS
+
+    fill = lambda t, w: "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n"))
+    isc = TEXTS["ISC"].replace("that the above copyright", "that the above\ncopyright").replace("with or without fee", "with or\nwithout fee")
+    texts = ["MIT License\n\nCopyright (c) 2020 Someone\n\n" + fill(TEXTS["MIT"], 78), "ISC License\n\nCopyright 2021 A\n\n" + fill(TEXTS["ISC"], 70), "Copyright (c) 1999, B\nAll rights reserved.\n\n" + fill(TEXTS["BSD-3-Clause"], 80), TEXTS["0BSD"] + "\nMIT License", fill(isc, 75)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    assert got == {0: "MIT", 1: "ISC", 2: "BSD-3-Clause", 3: None, 4: "ISC"}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"} <= {i for _, i, d in licenses.known_digests() if d in FILES.values()}
