@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Base spans (e-mail, IP address, payment card, phone) follow fixed patterns and always stay. Further candidates (secrets,
-national numbers, IBANs, national phone numbers, spelt-out e-mail addresses, names) are proposed by patterns and a
-gazetteer. Labelers (format, gazetteer, context before, contrary context, shape, borders) vote for, against or abstain on
+national numbers, IBANs, national phone numbers, spelt-out e-mail addresses, names) are proposed by patterns
+alone; there is no list of names. Labelers (format, gazetteer: known domains or a check of characters, context before, contrary context, shape, borders) vote for, against or abstain on
 every candidate; expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and the
 posterior of each pattern; a logistic span classifier is trained on these posteriors and decides on the candidates that
 aren't base spans. Counts come from all candidates; the classifier is fitted on at most about FIT_SPANS of them.
