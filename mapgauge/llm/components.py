@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapgauge.llm.common import cut
 
+#: Nodes of one key that are compared with one another in one place.
+BLOCK = 1000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. node, comp for every node of an edge; comp is the smallest node it is connected with.
@@ -73,16 +76,44 @@ def _star(open_: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("node", "best.rep").alias("a"), F.greatest("node", "best.rep").alias("b"), "best.shared")
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame, DataFrame | None], DataFrame], hot: int, slack: DataFrame | None = None, stars: int = 3) -> tuple[DataFrame, DataFrame | None]:
+def _rarest(open_: DataFrame, slack: DataFrame) -> DataFrame:
+    """open_ without each node's `slack` most frequent keys.
+
+    All nodes order keys alike, by frequency and key. Two linked nodes share more keys than either may drop, and of those the
+    rarest is dropped by neither: it would be among a node's `slack` last only if all shared keys were.
+    """
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    ranked = open_.join(sizes, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("size"), "key")))
+    return ranked.join(slack, "node").where(F.col("rank") > F.col("slack")).select("key", "node", "comp")
+
+
+def _pairs(open_: DataFrame, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """Distinct pairs of nodes of different components that share a key and whose facts don't rule a link out.
+
+    A key of more than BLOCK nodes is cut into blocks of about BLOCK, and its pairs into cells of two blocks, so a cell's work
+    is bounded; facts are compared inside the join, and only pairs that pass leave it.
+    """
+    names = [c for c in facts.columns if c != "node"]
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = open_.join(sizes, "key").join(facts, "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    end = lambda e: [F.col("node").alias(e), F.col("comp").alias(f"{e}_comp"), *[F.col(c).alias(f"{e}_{c}") for c in names]]
+    one = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *end("a"))
+    other = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *end("b"))
+    met = one.join(other, ["key", "i", "j"]).where("a_comp <> b_comp AND (i < j OR a < b)").where(near("a_", "b_"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], facts: DataFrame, near: Callable[[str, str], Column], slack: DataFrame | None = None, stars: int = 3) -> tuple[DataFrame | None, DataFrame | None]:
     """Finds links between nodes that share a key, up to the links that join what is joined already.
 
-    members: key, node, distinct. verify takes pairs (a, b, shared: number of keys they share among those looked at) and
-    what has been passed over (node, n, bad: whether it is more than its slack), and returns the true links (a, b). Star rounds first verify each node against one
-    representative of its keys and contract what is linked, so a large group of near copies costs about a pair for each of
-    its nodes and round. Then the pairs of different components in each key are verified. Keys that then still have more
-    than `hot` nodes are passed over where that loses nothing: slack (node, slack) says how many of a node's keys may be
-    passed over while it still shares a remaining key with each of its links; in such keys only nodes with more are paired.
-    Without slack all pairs of different components are verified in every key.
+    members: key, node, distinct. verify takes pairs (a, b, and in star rounds shared: the number of keys they share of those
+    that join different components, null later) and returns the true links (a, b). Star rounds first verify each node against
+    one representative of its keys and contract what is linked, so a large group of near copies costs about a pair for each
+    of its nodes and round. Then the pairs of different components in each key are compared by their facts (a row a node),
+    inside the key: near gives the condition that all links fulfil, on columns with the prefixes a_ and b_. slack (node,
+    slack) says how many of a node's keys may be dropped while it still shares a remaining key with each of its links; its
+    most frequent ones are.
 
     Returns the links and the component labels (node, comp), None if there are no links.
     """
@@ -92,7 +123,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame, DataFrame | No
     for turn in range(stars):
         if open_.isEmpty():
             return links, labels
-        new = cut(verify(_star(open_, turn), None))
+        new = cut(verify(_star(open_, turn)))
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
@@ -100,26 +131,10 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame, DataFrame | No
         open_ = cut(_several(open_.drop("comp"), labels))
     if open_.isEmpty():
         return links, labels
-    if slack is None:
-        pairs, passed = _pairs(open_), None
-    else:
-        large = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key")
-        large = cut(open_.join(large, "key"))
-        small = open_.join(large.select("key").distinct(), "key", "left_anti")
-        passed = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        passed = cut(passed.join(slack, "node").select("node", "n", (F.col("n") > F.col("slack")).alias("bad")))
-        # a pair of such nodes may share large keys only
-        pairs = _pairs(small).unionByName(_pairs(large.join(passed.where("bad").select("node"), "node")))
-    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    new = cut(verify(pairs, passed))
+    if slack is not None:
+        open_ = cut(_rarest(open_, slack))
+    new = cut(verify(cut(_pairs(open_, facts, near)).withColumn("shared", F.lit(None).cast("long"))))
     if not new.isEmpty():
         links = new if links is None else links.unionByName(new)
         labels = cut(components(links))
     return links, labels
-
-
-def _pairs(open_: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components within a key."""
-    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"))
-    one = open_.select("key", F.col("node").alias("a"), "comp")
-    return one.join(other, "key").where("a < b AND comp <> b_comp").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))

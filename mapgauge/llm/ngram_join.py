@@ -10,8 +10,9 @@ bound needs (with a margin, HEADROOM). A small set uses few segments, and for ea
 element deleted: such a segment finds one difference more, so half as many are needed. Empty segments say nothing and are
 never indexed; what they take from the guarantee is counted for each set, and sets for which it fails also index the prefix
 of their elements in hash order, which every linked pair of such sets shares. Signatures of a single set are dropped at
-once. Pairs that share enough signatures are compared by parity sketches, which bound their differences from below, and what
-is left by its elements. Signatures that very many sets share are passed over where the sets' margins allow (components.link_buckets).
+once, and of the others each set drops its most frequent ones, as many as its margin allows (components.link_buckets). Sets
+that meet in a signature are compared there by narrow parity sketches, which bound their differences from below; the pairs
+left by wider sketches, and then by their elements.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapgauge.llm.bytekit import distinct, flat, mix, shingles, slices, word_hashes
@@ -30,7 +31,10 @@ from mapgauge.llm.components import link_buckets
 WORDS = 5
 PERCENT = 80
 HEADROOM = 1.3
-HOT = 48
+#: Steps of size in a band; sets of one step use the same segments.
+STEPS = 8
+#: Longs of the sketch that is compared inside a key.
+WIDE = 8
 #: So many pairs may be broadcast: 48 bytes each.
 FEW_PAIRS = 100_000
 #: Bands below this use one-deletion neighbourhoods.
@@ -43,14 +47,25 @@ def bound(a: np.ndarray, most: np.ndarray) -> np.ndarray:
     return (a + b) * (100 - PERCENT) // (100 + PERCENT)
 
 
-def scheme(a: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sets of size a in the band [base, 2 base): segments m, how many of them a set uses, and its bound H."""
-    h = bound(a, 2 * base - 1)
+def step_of(a: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Which of the STEPS equal ratios of the band [base, 2 base) the size a lies in; sizes below the band have negative ones."""
+    return np.floor(STEPS * np.log2(a / base) + 1e-9).astype(np.int64)
+
+
+def step_sizes(step: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest size that may lie in a step, with one to spare."""
+    low = np.floor(base * 2.0 ** (step / STEPS)).astype(np.int64)
+    return np.maximum(low, 1), np.minimum(np.ceil(base * 2.0 ** ((step + 1) / STEPS)).astype(np.int64), 2 * base - 1)
+
+
+def scheme(step: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sets in a step of the band [base, 2 base): segments m, and how many of them each of these sets uses."""
+    low, high = step_sizes(step, base)
     top = bound(2 * base - 1, 2 * base - 1)
     m = np.where(base < SMALL, top // 2 + 1, np.ceil(top * 1.4).astype(np.int64) + 1)
-    filled = 1 - np.exp(-a / m)
-    use = np.where(base < SMALL, m, np.minimum(m, np.ceil(HEADROOM * (h + 1) / filled).astype(np.int64) + 1))
-    return m, use, h
+    filled = 1 - np.exp(-low / m)
+    use = np.ceil(HEADROOM * (bound(high, 2 * base - 1) + 1) / filled).astype(np.int64) + 1
+    return m, np.where(base < SMALL, m, np.minimum(m, use))
 
 
 def _sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +96,9 @@ def signatures(v: np.ndarray, at: np.ndarray, only_counts: bool = False):
         who = np.flatnonzero(takes)
         if not len(who):
             continue
-        m, use, h = scheme(size[who], base[who])
+        own, base_of = step_of(size[who], base[who]), base[who]
+        m, use = scheme(own, base_of)
+        h = bound(size[who], 2 * base_of - 1)
         place = np.full(n, -1, np.int64)
         first = np.concatenate([[0], np.cumsum(use)])
         place[who] = np.arange(len(who))
@@ -102,7 +119,16 @@ def signatures(v: np.ndarray, at: np.ndarray, only_counts: bool = False):
         small = base[who] < SMALL
         filled = np.bincount(set_of[count > 0], minlength=len(who))
         weight = np.where(small, np.bincount(set_of, np.minimum(count, 2), len(who)).astype(np.int64), filled)
+        # a partner may use fewer segments: of those that both use, the worst case over the steps it can lie in
+        upto = np.concatenate([[0], np.cumsum(count > 0)])
         left = weight - h - 1
+        for away in range(-STEPS // 2, STEPS // 2 + 1):
+            low, high = step_sizes(own + away, base_of)
+            largest = np.minimum(high, 100 * size[who] // PERCENT)
+            can = ~small & (100 * largest >= PERCENT * size[who]) & (low <= largest) & (100 * high >= PERCENT * base_of)
+            common = np.minimum(use, scheme(own + away, base_of)[1])
+            found = upto[first[:-1] + common] - upto[first[:-1]] - (size[who] + largest) * (100 - PERCENT) // (100 + PERCENT) - 1
+            left = np.where(can, np.minimum(left, found), left)
         slack = np.where(left < 0, -1, np.where(small, left // 2, left))
         facts[role][:, who] = use, filled, h, slack
         weak_any[who] |= left < 0
@@ -127,9 +153,30 @@ def signatures(v: np.ndarray, at: np.ndarray, only_counts: bool = False):
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def narrow(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The parity of each set's elements in 64 * WIDE buckets, as WIDE longs a set."""
+    n, wide = len(at) - 1, 64 * WIDE
+    out = np.zeros((n, WIDE), np.int64)
+    bucket = (mix(v ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.int64) % wide
+    for i in range(0, n, 4096):
+        j = min(n, i + 4096)
+        owner = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+        odd = np.bincount(owner * wide + bucket[at[i] : at[j]], minlength=(j - i) * wide) & 1
+        out[i:j] = np.packbits(odd.astype(np.uint8).reshape(j - i, wide), axis=1, bitorder="little").view(np.int64)
+    return out
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether sizes and narrow sketches allow a link: each bucket whose parities differ holds a difference at least."""
+    odd = sum((F.bit_count(F.col(f"{a}p{i}").bitwiseXOR(F.col(f"{b}p{i}"))) for i in range(1, WIDE)), F.bit_count(F.col(f"{a}p0").bitwiseXOR(F.col(f"{b}p0"))))
+    x, y = F.col(f"{a}n"), F.col(f"{b}n")
+    return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y)) & (odd * (100 + PERCENT) <= (x + y) * (100 - PERCENT))
+
+
 def _light(rows: DataFrame) -> DataFrame:
-    """rows: id, th, text. id, th, n (set size), node (class), and the facts of both roles."""
+    """rows: id, th, text. id, th, n (set size), node (class), the facts of both roles, and the narrow sketch."""
     names = [f"{f}{r}" for r in (0, 1) for f in ("use", "filled", "bound", "slack")]
+    sketch = [f"p{i}" for i in range(WIDE)]
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +185,9 @@ def _light(rows: DataFrame) -> DataFrame:
             for i, j in slices(off):
                 v, at = _sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 facts = signatures(v, at, only_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(class_ids(v, at)), *(pa.array(facts[r][f], pa.int32()) for r in (0, 1) for f in range(4))], names=["id", "th", "n", "node", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(class_ids(v, at)), *(pa.array(facts[r][f], pa.int32()) for r in (0, 1) for f in range(4)), *(pa.array(np.ascontiguousarray(c)) for c in narrow(v, at).T)], names=["id", "th", "n", "node", *names, *sketch])
 
-    return rows.mapInArrow(run, f"id {id_type}, th long, n long, node long, " + ", ".join(f"{x} int" for x in names))
+    return rows.mapInArrow(run, f"id {id_type}, th long, n long, node long, " + ", ".join([*(f"{x} int" for x in names), *(f"{x} long" for x in sketch)]))
 
 
 def _signature_rows(rows: DataFrame) -> DataFrame:
@@ -226,7 +273,7 @@ def _overlaps(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", hot: int = HOT) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """A row a document: id, n_shingles, component_id, and th (a hash of its text, to tell repeated identifiers apart).
 
     Words are lower-cased in A-Z; a set is the distinct 5-word shingles, of a shorter text the whole sequence; texts without
@@ -237,6 +284,7 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", hot: i
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     light = cut(_light(rows.withColumn("th", F.xxhash64("text")).select("id", "th", "text")))
     facts = [c for c in light.columns if c not in ("id", "th", "n", "node")]
+    sketch = [c for c in facts if c.startswith("p")]
     classes = light.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in facts])
     classes = cut(classes)
     shared = Window.partitionBy("key")
@@ -249,37 +297,29 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", hot: i
     # the elements of all sets that share a signature with another
     wanted = members.select("node").distinct().join(classes, "node").select("first", "node")
     elements = cut(_set_rows(rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "node")))
-    known = classes.drop("first")
+    known = classes.drop("first", *sketch)
 
-    def verify(pairs: DataFrame, passed: DataFrame | None) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             pairs = pairs.join(known.select(*[F.col(c).alias(end if c == "node" else f"{end}_{c}") for c in known.columns]), end)
         larger, smaller = F.greatest("a_n", "b_n"), F.least("a_n", "b_n")
-        # of the segments that the set with fewer uses, so many must agree, less those passed over; bands with deletions aside
+        # of the segments that the set with fewer uses, so many must agree; bands with deletions aside
         base = F.pow(F.lit(2.0), F.floor(F.log2(larger.cast("double"))))
         for end in ("a", "b"):
             own = F.col(f"{end}_n") >= base
             for f in ("use", "filled", "slack"):
                 pairs = pairs.withColumn(f"{end}_{f}", F.when(own, F.col(f"{end}_{f}0")).otherwise(F.col(f"{end}_{f}1")))
-            if passed is not None:
-                pairs = pairs.join(passed.select(F.col("node").alias(end), F.col("n").alias(f"{end}_passed"), F.col("bad").alias(f"{end}_bad")), end, "left")
-        a_fewer = F.col("a_use") <= F.col("b_use")
-        must = F.when(a_fewer, F.col("a_filled")).otherwise(F.col("b_filled")) - F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT))
-        hidden = F.lit(0)
-        if passed is not None:
-            # a key that hides from the count has been passed over for both; of two bad nodes all keys are counted
-            least = F.least(*[F.coalesce(f"{end}_passed", F.lit(0)) for end in ("a", "b")])
-            hidden = F.when(F.coalesce("a_bad", F.lit(False)) & F.coalesce("b_bad", F.lit(False)), 0).otherwise(least)
-        must = must - hidden
-        # by each set's own bound, in all bands: one key more than may be passed over
-        must = F.greatest(F.when(base >= SMALL, must), F.greatest("a_slack", "b_slack") + 1 - hidden)
-        most = F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT)).cast("long")
-        pairs = cut(pairs.where((100 * smaller >= PERCENT * larger) & (F.col("shared") >= must)).select("a", "b", most.alias("most")))
+        differ = F.floor((larger + smaller) * (100 - PERCENT) / (100 + PERCENT))
+        must = F.when(F.col("a_use") <= F.col("b_use"), F.col("a_filled")).otherwise(F.col("b_filled")) - differ
+        # by each set's own bound, in all bands: one key more than may be dropped
+        must = F.greatest(F.when(base >= SMALL, must), F.greatest("a_slack", "b_slack") + 1)
+        enough = F.coalesce(F.col("shared") >= must, F.lit(True))
+        pairs = cut(pairs.where((100 * smaller >= PERCENT * larger) & enough).select("a", "b", differ.cast("long").alias("most")))
         # sketches of half a byte an element leave few pairs beside the true ones
         pairs = cut(_not_far(_meet(pairs, elements, "sketch")))
         return _overlaps(_meet(pairs, elements, "elements"))
 
-    _, labels = link_buckets(members, verify, hot, slack)
+    _, labels = link_buckets(members, verify, classes.select("node", "n", *sketch), may_link, slack)
     if labels is None:
         ends = classes.select(F.col("node").alias("c_node"), F.col("first").alias("component"))
     else:

@@ -287,7 +287,8 @@ def brute_components(texts):
     return {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
-def test_ngram_join(spark):
+def test_ngram_join(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 3)
     rng = random.Random(9)
     voc = [f"w{i}" for i in range(3000)]
     passage, base = [rng.choice(voc) for _ in range(40)], [rng.choice(voc) for _ in range(120)]
@@ -301,7 +302,7 @@ def test_ngram_join(spark):
             w = w or ["e"]
         texts.append(" ".join(w))
     d = table(spark, texts)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(d, hot=6).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(d).collect()}
     assert got == brute_components(texts)
     left = ngram_join.keep_one(table(spark, texts[:60] + texts[:3]))
     want = brute_components(texts[:60] + texts[:3])
