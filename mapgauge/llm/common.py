@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers that make a file of a small table.
+ROWS_A_FILE = 250_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,6 +38,28 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, written as a table into the shared folder: like cut, but Spark knows the table's size, so joins with a
+    small one need no shuffle. rows: a bound on their number, if one is known, so that few rows make few files."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    few = df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)
+    few.write.parquet(at)
+    done = spark.read.schema(df.schema).parquet(at)
+    done.stored_at = at
+    return done
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        at = getattr(df, "stored_at", None)
+        if at:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(name: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import cut
+from mapgauge.llm.common import discard, stored
 
 #: Nodes of one key that are compared with one another in one place.
 BLOCK = 1000
@@ -20,25 +20,29 @@ def components(edges: DataFrame) -> DataFrame:
     doubling, and contracts the edges; the nodes left at least halve. All steps are joins and aggregates over edges.
     """
     both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.distinct())
+    both = stored(both.distinct())
+    # no table below has more rows
+    n = both.count()
     labels = None
     while True:
-        to = both.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
-        to = cut(to)
+        to = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), n)
         while True:
             up = to.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            to = cut(to.join(up, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            was, to = to, stored(to.join(up, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), n)
+            discard(was)
             if to.where("moved").isEmpty():
                 break
-        to = to.select("a", "p")
+        to, found = to.select("a", "p"), to
+        was_labels, was_both = labels, both
         if labels is None:
-            labels = to.select(F.col("a").alias("node"), F.col("p").alias("comp"))
+            labels = stored(to.select(F.col("a").alias("node"), F.col("p").alias("comp")), n)
         else:
-            labels = cut(labels.join(to, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("p", "comp").alias("comp")))
+            labels = stored(labels.join(to, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("p", "comp").alias("comp")), n)
         one = both.join(to, "a").select("b", F.col("p").alias("ra"))
-        both = one.join(to.withColumnRenamed("a", "b"), "b").where("ra <> p").select(F.col("ra").alias("a"), F.col("p").alias("b")).distinct()
-        both = cut(both)
+        both = stored(one.join(to.withColumnRenamed("a", "b"), "b").where("ra <> p").select(F.col("ra").alias("a"), F.col("p").alias("b")).distinct(), n)
+        discard(was_labels, was_both, found)
         if both.isEmpty():
+            discard(both)
             return labels
 
 
@@ -67,7 +71,7 @@ def _star(open_: DataFrame, turn: int) -> DataFrame:
         order = F.xxhash64(F.lit(turn), "node")
     else:
         sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        central = cut(open_.select("key", "node").join(sizes, "key").groupBy("node").agg((-F.sum("size")).alias("order")))
+        central = stored(open_.select("key", "node").join(sizes, "key").groupBy("node").agg((-F.sum("size")).alias("order")))
         open_, order = open_.join(central, "node"), F.col("order")
     first = F.min(F.struct(order.alias("o"), "node", "comp"))
     reps = open_.groupBy("key").agg(first.alias("r")).select("key", F.col("r.node").alias("rep"), F.col("r.comp").alias("r_comp"))
@@ -119,22 +123,29 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
     """
     links = None
     labels = None
-    open_ = cut(_several(members, labels))
+
+    open_ = stored(_several(members, labels))
     for turn in range(stars):
         if open_.isEmpty():
             return links, labels
-        new = cut(verify(_star(open_, turn)))
+        new = stored(verify(_star(open_, turn)))
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
-        labels = cut(components(links))
-        open_ = cut(_several(open_.drop("comp"), labels))
+        was_labels, labels = labels, components(links)
+        discard(was_labels)
+        was, open_ = open_, stored(_several(open_.drop("comp"), labels))
+        discard(was)
     if open_.isEmpty():
         return links, labels
     if slack is not None:
-        open_ = cut(_rarest(open_, slack))
-    new = cut(verify(cut(_pairs(open_, facts, near)).withColumn("shared", F.lit(None).cast("long"))))
+        was, open_ = open_, stored(_rarest(open_, slack))
+        discard(was)
+    pairs = stored(_pairs(open_, facts, near))
+    discard(open_)
+    new = stored(verify(pairs.withColumn("shared", F.lit(None).cast("long"))))
     if not new.isEmpty():
         links = new if links is None else links.unionByName(new)
-        labels = cut(components(links))
+        was_labels, labels = labels, components(links)
+        discard(was_labels)
     return links, labels

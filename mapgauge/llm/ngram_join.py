@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapgauge.llm.bytekit import distinct, flat, mix, shingles, slices, word_hashes
-from mapgauge.llm.common import cut, fresh, quoted, table, text_of
+from mapgauge.llm.common import discard, fresh, quoted, stored, table, text_of
 from mapgauge.llm.components import link_buckets
 
 WORDS = 5
@@ -282,21 +282,22 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
-    light = cut(_light(rows.withColumn("th", F.xxhash64("text")).select("id", "th", "text")))
+    light = stored(_light(rows.withColumn("th", F.xxhash64("text")).select("id", "th", "text")))
     facts = [c for c in light.columns if c not in ("id", "th", "n", "node")]
     sketch = [c for c in facts if c.startswith("p")]
     classes = light.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in facts])
-    classes = cut(classes)
+    classes = stored(classes)
     shared = Window.partitionBy("key")
     found = _signature_rows(rows).withColumns({"lo": F.min("node").over(shared), "hi": F.max("node").over(shared)})
-    members = cut(found.where("lo <> hi").select("key", "node").distinct())
+    members = stored(found.where("lo <> hi").select("key", "node").distinct())
     # a linked pair shares more signatures than either set may miss: sets that share fewer with all others together are out
     slack = classes.select("node", F.least(F.when(F.col("slack0") > -2, F.col("slack0")), F.when(F.col("slack1") > -2, F.col("slack1"))).alias("slack"))
     enough = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(slack, "node").where("n > slack").select("node")
-    members = cut(members.join(enough, "node"))
+    all_members, members = members, stored(members.join(enough, "node"))
+    discard(all_members)
     # the elements of all sets that share a signature with another
     wanted = members.select("node").distinct().join(classes, "node").select("first", "node")
-    elements = cut(_set_rows(rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "node")))
+    elements = stored(_set_rows(rows.join(wanted, F.col("id").eqNullSafe(F.col("first"))).select("text", "node")))
     known = classes.drop("first", *sketch)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -314,12 +315,13 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
         # by each set's own bound, in all bands: one key more than may be dropped
         must = F.greatest(F.when(base >= SMALL, must), F.greatest("a_slack", "b_slack") + 1)
         enough = F.coalesce(F.col("shared") >= must, F.lit(True))
-        pairs = cut(pairs.where((100 * smaller >= PERCENT * larger) & enough).select("a", "b", differ.cast("long").alias("most")))
+        pairs = stored(pairs.where((100 * smaller >= PERCENT * larger) & enough).select("a", "b", differ.cast("long").alias("most")))
         # sketches of half a byte an element leave few pairs beside the true ones
-        pairs = cut(_not_far(_meet(pairs, elements, "sketch")))
+        pairs = stored(_not_far(_meet(pairs, elements, "sketch")))
         return _overlaps(_meet(pairs, elements, "elements"))
 
     _, labels = link_buckets(members, verify, classes.select("node", "n", *sketch), may_link, slack)
+    discard(members, elements)
     if labels is None:
         ends = classes.select(F.col("node").alias("c_node"), F.col("first").alias("component"))
     else:
@@ -333,7 +335,7 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of docs that stay, all columns: of each component the document with the smallest identifier; of rows with
     that identifier and the same text one. Documents without words all stay."""
-    found = cut(jaccard_components(docs, id_col, text_col))
+    found = stored(jaccard_components(docs, id_col, text_col))
     d_id, d_th, th = fresh(docs, "d_id", "d_th", "text_hash")
     gone = found.where(~F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias(d_id), F.col("th").alias(d_th)).distinct()
     marked = docs.withColumn(th, F.xxhash64(text_of(text_col)))
