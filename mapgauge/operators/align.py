@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapgauge.functions.masks import fit_mask
+from mapgauge.operators.reduce import array_quantile
 
 MODES = ("none", "auto_affine", "affine")
 
@@ -32,7 +33,7 @@ def resize_nearest(px: DataFrame, size: tuple[int, int], to: tuple[int, int]) ->
     return px.join(F.broadcast(target), ["i", "j"]).select(*rest, F.col("ti").alias("i"), F.col("tj").alias("j"))
 
 
-def _overlaps(n: int, m: int) -> list[tuple[int, int, float]]:
+def area_cells(n: int, m: int) -> list[tuple[int, int, float]]:
     """(target, source, length) of the overlaps of m equal cells with n unit cells."""
     out = []
     for t in range(m):
@@ -44,14 +45,14 @@ def _overlaps(n: int, m: int) -> list[tuple[int, int, float]]:
 def resize_area(px: DataFrame, size: tuple[int, int], to: tuple[int, int], value: str) -> DataFrame:
     """Down-scaling by area: each target pixel is the overlap-weighted mean of the source pixels under it."""
     spark = px.sparkSession
-    rows = F.broadcast(spark.createDataFrame(_overlaps(size[0], to[0]), "ti int, i int, wi double"))
-    cols = F.broadcast(spark.createDataFrame(_overlaps(size[1], to[1]), "tj int, j int, wj double"))
+    rows = F.broadcast(spark.createDataFrame(area_cells(size[0], to[0]), "ti int, i int, wi double"))
+    cols = F.broadcast(spark.createDataFrame(area_cells(size[1], to[1]), "tj int, j int, wj double"))
     w = F.col("wi") * F.col("wj")
     out = px.join(rows, "i").join(cols, "j").groupBy("img", "ti", "tj").agg((F.sum(F.col(value) * w) / F.sum(w)).alias(value))
     return out.select("img", F.col("ti").alias("i"), F.col("tj").alias("j"), value)
 
 
-def _linear(n: int, m: int) -> list[tuple[int, int, float]]:
+def linear_cells(n: int, m: int) -> list[tuple[int, int, float]]:
     out = []
     for t in range(m):
         at = min(max((t + 0.5) * n / m - 0.5, 0.0), n - 1.0)
@@ -63,8 +64,8 @@ def _linear(n: int, m: int) -> list[tuple[int, int, float]]:
 def resize_linear(px: DataFrame, size: tuple[int, int], to: tuple[int, int], value: str) -> DataFrame:
     """Up-scaling with half-pixel centres and clamped borders, four neighbours."""
     spark = px.sparkSession
-    rows = F.broadcast(spark.createDataFrame(_linear(size[0], to[0]), "ti int, i int, wi double"))
-    cols = F.broadcast(spark.createDataFrame(_linear(size[1], to[1]), "tj int, j int, wj double"))
+    rows = F.broadcast(spark.createDataFrame(linear_cells(size[0], to[0]), "ti int, i int, wi double"))
+    cols = F.broadcast(spark.createDataFrame(linear_cells(size[1], to[1]), "tj int, j int, wj double"))
     out = px.join(rows, "i").join(cols, "j").groupBy("img", "ti", "tj").agg(F.sum(F.col(value) * F.col("wi") * F.col("wj")).alias(value))
     return out.select("img", F.col("ti").alias("i"), F.col("tj").alias("j"), value)
 
@@ -82,14 +83,20 @@ def is_normalised(pairs: DataFrame, order: str = "img", pred: str = "pred") -> b
     return bool(got and got["hi"] is not None and got["hi"] <= 1 + 1e-3 and got["lo"] >= -1 - 1e-3)
 
 
-def trimmed(px: DataFrame, share: float = 0.95, sky: str | None = "sky") -> Column:
-    """Pixels for a fit after the far tail is cut: gt at most its quantile over the fit mask, if two pixels are left."""
+def with_trim(pairs: DataFrame, share: float = 0.95, sky: str | None = "sky") -> DataFrame:
+    """pairs with trim: the ground truth's quantile over the pixels that a fit may use, above which it takes none, or
+    infinity if fewer than two would be left. Found in each image's row, without a shuffle of its pixels."""
     if not 0 < share <= 1:
         raise ValueError("the quantile must be in (0, 1]")
-    ok, img = fit_mask(sky=sky), Window.partitionBy("img")
-    top = F.percentile(F.when(ok, F.col("gt")), share).over(img)
-    few = F.count(F.when(ok & (F.col("gt") <= top), 1)).over(img) < 2
-    return ok & ((F.col("gt") <= top) | few)
+    usable = F.transform(F.arrays_zip("gt", "pred", *([sky] if sky else [])), lambda z: F.when(fit_mask(z["gt"], z["pred"], z[sky] if sky else None), z["gt"]))
+    top = pairs.withColumn("_usable", usable).withColumn("_top", array_quantile(F.col("_usable"), share))
+    left = F.size(F.filter("_usable", lambda v: v <= F.col("_top")))
+    return top.withColumn("trim", F.when(left >= 2, F.col("_top")).otherwise(float("inf"))).drop("_usable", "_top")
+
+
+def trimmed(sky: str | None = "sky") -> Column:
+    """Pixels for a fit after the far tail is cut (with_trim)."""
+    return fit_mask(sky=sky) & (F.col("gt") <= F.col("trim"))
 
 
 def affine_fit(px: DataFrame, mask: Column, source: str = "pred") -> DataFrame:

@@ -8,18 +8,39 @@ from pyspark.sql import functions as F
 
 
 def moments(features: DataFrame) -> DataFrame:
-    """set, a, b, n, sum_ab, sum_a: second moments of each pair of feature columns a <= b. One aggregate over exploded
-    pairs with map-side sums, so d * d rows a task are shuffled, whatever the number of vectors."""
-    one = features.select("set", F.posexplode("x").alias("a", "va"), "x")
-    pairs = one.select("set", "a", "va", F.posexplode("x").alias("b", "vb")).where("a <= b")
-    return pairs.groupBy("set", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("va") * F.col("vb")).alias("sum_ab"), F.sum("va").alias("sum_a"), F.sum("vb").alias("sum_b"))
+    """set, a, n, sums, products: for each feature column a its sums of products with all columns, and all columns' sums.
+    Gram matrices of Arrow batches are added up in each task, so a task leaves d rows of d numbers, whatever the number of
+    vectors."""
+
+    def grams(batches):
+        import pyarrow as pa
+
+        total = {}
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), object)
+            for s in set(names.tolist()):
+                part = batch.column(1).filter(pa.array(names == s))
+                x = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1).astype(float)
+                n, t, g = total.get(s, (0, 0.0, 0.0))
+                total[s] = n + len(x), t + x.sum(axis=0), g + x.T @ x
+        for s, (n, t, g) in total.items():
+            d = len(t)
+            yield pa.RecordBatch.from_arrays([pa.array([s] * d), pa.array(range(d), pa.int32()), pa.array([n] * d, pa.int64()), pa.array([t] * d, pa.list_(pa.float64())), pa.array(list(g), pa.list_(pa.float64()))], names=["set", "a", "n", "sums", "products"])
+
+    def added(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"set": [pdf["set"].iloc[0]], "a": [pdf["a"].iloc[0]], "n": [pdf["n"].sum()], "sums": [np.sum(np.stack(pdf["sums"].to_list()), axis=0)], "products": [np.sum(np.stack(pdf["products"].to_list()), axis=0)]})
+
+    schema = "set string, a int, n long, sums array<double>, products array<double>"
+    return features.select("set", F.col("x").cast("array<double>").alias("x")).mapInArrow(grams, schema).groupBy("set", "a").applyInPandas(added, schema)
 
 
 def covariance(features: DataFrame) -> DataFrame:
-    """set, a, b, mean_a, mean_b, cov (sample)."""
-    m = moments(features)
+    """set, a, b, mean_a, mean_b, cov (sample), for a <= b."""
     n = F.col("n").cast("double")
-    return m.select("set", "a", "b", (F.col("sum_a") / n).alias("mean_a"), (F.col("sum_b") / n).alias("mean_b"), F.when(n > 1, (F.col("sum_ab") - F.col("sum_a") * F.col("sum_b") / n) / (n - 1)).alias("cov"))
+    m = moments(features).select("set", "a", "n", F.get("sums", F.col("a")).alias("sum_a"), F.posexplode(F.arrays_zip("sums", "products")).alias("b", "z")).where("a <= b")
+    return m.select("set", "a", "b", (F.col("sum_a") / n).alias("mean_a"), (F.col("z.sums") / n).alias("mean_b"), F.when(n > 1, (F.col("z.products") - F.col("sum_a") * F.col("z.sums") / n) / (n - 1)).alias("cov"))
 
 
 def frechet(m1: np.ndarray, s1: np.ndarray, m2: np.ndarray, s2: np.ndarray) -> float:
@@ -36,13 +57,15 @@ def frechet(m1: np.ndarray, s1: np.ndarray, m2: np.ndarray, s2: np.ndarray) -> f
 
 def fid(features: DataFrame) -> DataFrame:
     """fid between the sets gt and pred. Only the d x d moments come to the driver."""
+    rows: dict[str, list] = {}
+    for r in moments(features).collect():
+        rows.setdefault(r["set"], []).append(r)
     got: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    rows = covariance(features).collect()
-    d = max((r["b"] for r in rows), default=-1) + 1
-    for r in rows:
-        mean, cov = got.setdefault(r["set"], (np.zeros(d), np.zeros((d, d))))
-        mean[r["a"]], mean[r["b"]] = r["mean_a"], r["mean_b"]
-        cov[r["a"], r["b"]] = cov[r["b"], r["a"]] = r["cov"] if r["cov"] is not None else np.nan
+    for name, found in rows.items():
+        found.sort(key=lambda r: r["a"])
+        n, total = found[0]["n"], np.array(found[0]["sums"])
+        products = np.array([r["products"] for r in found])
+        got[name] = total / n, (products - np.outer(total, total) / n) / (n - 1) if n > 1 else np.full(products.shape, np.nan)
     value = frechet(*got["gt"], *got["pred"]) if {"gt", "pred"} <= got.keys() and all(np.isfinite(c).all() for _, c in got.values()) else None
     return features.sparkSession.createDataFrame([(value,)], "fid double")
 

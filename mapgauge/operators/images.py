@@ -9,11 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mapgauge.functions import kernels as K
+from mapgauge.functions.masks import benchmark_edges
 
 #: Pixels that one stack may have.
 STACK = 1 << 22
 
 
+def stacks(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Row numbers and the n maps from column 3 on, as stacks (rows, height, width) of equal size."""
+    size = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+    for h, w in np.unique(size, axis=0) if len(size) else []:
+        rows = np.flatnonzero((size == (h, w)).all(axis=1))
+        step = max(1, STACK // int(h * w))
+        for s in range(0, len(rows), step):
+            take = pa.array(rows[s : s + step])
+            yield rows[s : s + step], [batch.column(3 + m).take(take).flatten().to_numpy(zero_copy_only=False).reshape(-1, h, w) for m in range(n)]
+
+
 def per_image(pairs: DataFrame, maps: list[str], schema: str, fn: Callable[..., dict[str, np.ndarray]], key: str = "img") -> DataFrame:
     """Applies fn to stacks (n, height, width) of the named row-major arrays; it returns the columns of schema, one value
     an image. Null elements are NaN."""
@@ -23,15 +35,9 @@ def per_image(pairs: DataFrame, maps: list[str], schema: str, fn: Callable[...,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
-            for h, w in np.unique(size, axis=0) if len(size) else []:
-                rows = np.flatnonzero((size == (h, w)).all(axis=1))
-                step = max(1, STACK // int(h * w))
-                for s in range(0, len(rows), step):
-                    take = pa.array(rows[s : s + step])
-                    stacks = [batch.column(3 + m).take(take).flatten().to_numpy(zero_copy_only=False).reshape(-1, h, w) for m in range(len(maps))]
-                    out = fn(*stacks)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *(pa.array(np.asarray(out[c]).tolist() if np.asarray(out[c]).ndim > 1 else out[c]) for c in names)], names=[key, *names])
+            for rows, maps_ in stacks(batch, len(maps)):
+                out = fn(*maps_)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(np.asarray(out[c]).tolist() if np.asarray(out[c]).ndim > 1 else out[c]) for c in names)], names=[key, *names])
 
     return kept.mapInArrow(run, f"{key} {key_type}, {schema}")
 
@@ -86,17 +92,30 @@ def band_similarity(pairs: DataFrame, bands: int = 4) -> DataFrame:
     return per_image(pairs, RGB, "bands array<double>", lambda *m: {"bands": K.band_similarity(K.luma(*m[:3]), K.luma(*m[3:]), bands)})
 
 
-def normal_angles(pairs: DataFrame) -> DataFrame:
-    """img, angle: the angle between normals at each pixel that counts."""
-    kept = pairs.select("img", "height", "width", "gt", "pred")
+def normal_angles(pairs: DataFrame, bins: tuple[float, float] | None = None, key: str = "img") -> DataFrame:
+    """key, angle: the angle between normals at each pixel that counts.
+
+    With bins = (low, high) also bin: all, and near, mid and far of the benchmark range. Each bin is masked before its
+    normals are taken and eroded by itself, so a bin's pixels beside another bin's don't count.
+    """
+    kept = pairs.select(key, "height", "width", "gt", "pred")
+    key_type = kept.schema[key].dataType.simpleString()
+    first, second = benchmark_edges(*bins) if bins else (0.0, 0.0)
+
+    def parts(g: np.ndarray) -> dict[str, np.ndarray]:
+        if not bins:
+            return {"": np.ones(g.shape, bool)}
+        inside = (g >= bins[0]) & (g <= bins[1])
+        return {"all": inside, "near": inside & (g < first), "mid": inside & (g >= first) & (g < second), "far": inside & (g >= second)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(batch.num_rows):
-                shape = (1, batch.column(1)[n].as_py(), batch.column(2)[n].as_py())
-                g, p = (batch.column(c)[n].values.to_numpy(zero_copy_only=False).reshape(shape) for c in (3, 4))
-                angle, at = K.normal_angles(g, p, K.valid_pair(g, p))
-                found = angle[at]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found), n))), pa.array(found)], names=["img", "angle"])
-
-    return kept.mapInArrow(run, "img long, angle double")
+            for rows, (g, p) in stacks(batch, 2):
+                ok = K.valid_pair(g, p)
+                for name, inside in parts(g).items():
+                    angle, at = K.normal_angles(g, p, ok & inside)
+                    owner = np.repeat(rows, at.reshape(len(rows), -1).sum(axis=1))
+                    columns = [batch.column(0).take(pa.array(owner)), pa.array(angle[at])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * len(owner), pa.string())][: 3 if bins else 2], names=[key, "angle", "bin"][: 3 if bins else 2])
+
+    return kept.mapInArrow(run, f"{key} {key_type}, angle double" + (", bin string" if bins else ""))

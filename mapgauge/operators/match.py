@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapgauge.functions.lineage import cut
+
 KEY = ["hierarchy", "file_id"]
 
 
@@ -29,10 +31,18 @@ def unmatched(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def with_index(frames: DataFrame) -> DataFrame:
-    """frames with sample_idx in the order of hierarchy and file id. The range partitioning carries the order, so no task
-    holds all frames; indices start at 0 in each leading hierarchy level."""
-    level = F.coalesce(F.element_at("hierarchy", 1), F.lit(""))
-    return frames.withColumn("sample_idx", F.row_number().over(Window.partitionBy(level).orderBy("hierarchy", "file_id")) - 1)
+    """frames with sample_idx in the order of hierarchy and file id, from 0 in each leading hierarchy level.
+
+    Frames are range-partitioned in that order and numbered within each partition; what lies before a partition is known
+    from a count a partition and level. So no task holds more than a partition, however large a level is.
+    """
+    level = F.coalesce(F.get("hierarchy", 0), F.lit(""))
+    ranged = cut(frames.withColumn("_level", level).repartitionByRange("_level", "hierarchy", "file_id").withColumn("_pid", F.spark_partition_id()))
+    # a row a partition and level
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_level").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy("_level", "_pid").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", before).drop("_n")
+    within = F.row_number().over(Window.partitionBy("_level", "_pid").orderBy("hierarchy", "file_id")) - 1
+    return ranged.withColumn("_at", within).join(counts, ["_level", "_pid"]).withColumn("sample_idx", (F.col("_before") + F.col("_at")).cast("int")).drop("_level", "_pid", "_at", "_before")
 
 
 def attach_ancestor(frames: DataFrame, coarse: DataFrame, columns: list[str]) -> DataFrame:

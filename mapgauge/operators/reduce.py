@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapgauge.functions.lineage import cut
 from mapgauge.functions.masks import only_finite, valid
 
 STANDARD = ("absrel", "sqrel", "mae", "rmse", "rmse_log", "log10", "silog", "delta1", "delta2", "delta3")
@@ -55,27 +54,76 @@ def depth_errors(px: DataFrame, mask: Column | None = None) -> DataFrame:
     return rows.withColumns({"absrel": F.abs(p - g) / g, "err": F.abs(p - g), "logerr": F.abs(F.ln(p) - F.ln(g))})
 
 
-def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """share, value: exact quantiles with linear interpolation over a pool of any size.
+#: Bins that a range of values is cut into, and values that one sorted window may hold.
+BINS, FEW = 4096, 100_000
+
+
+def pooled_quantiles(rows: DataFrame, values: dict[str, Column], shares: list[float]) -> DataFrame:
+    """name, share, value: exact quantiles with linear interpolation of several values over one pool of any size.
 
-    The values are range-partitioned and sorted, each partition is counted, and only the rows at the wanted ranks are read:
-    no task holds the pool. Nulls and non-finite values don't count; an empty pool gives null values.
+    All values are counted together, in BINS equal bins of their range; a bin that holds a wanted rank is cut again, from
+    its least to its largest value, until it holds one value only, however often, or FEW rows, which are sorted. So the pool
+    is read a few times and never moved: map-side sums leave BINS rows a task and value. Nulls and non-finite values don't
+    count; an empty pool gives null values.
     """
     spark = rows.sparkSession
-    values = rows.select(only_finite(column).alias("v")).where("v IS NOT NULL")
-    ranged = cut(values.repartitionByRange("v").withColumn("pid", F.spark_partition_id()))
-    counts = ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).orderBy("pid").collect()  # a row a partition
-    total = sum(r["n"] for r in counts)
-    wanted = [(q, r, w) for q in shares for at in [q * (total - 1)] for r, w in ((int(at), 1 - (at - int(at))), (int(at) + 1, at - int(at))) if total and w]
-    found, before = [], 0
-    for r in counts:
-        found += [(r["pid"], k - before + 1, q, w) for q, k, w in wanted if before <= k < before + r["n"]]
-        before += r["n"]
-    ranks = spark.createDataFrame(found, "pid int, rn int, share double, weight double")
-    asked = spark.createDataFrame([(q,) for q in shares], "share double")
-    within = ranged.join(F.broadcast(ranks.select("pid").distinct()), "pid").withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("v")))
-    picked = within.join(F.broadcast(ranks), ["pid", "rn"]).groupBy("share").agg(F.sum(F.col("v") * F.col("weight")).alias("value"))
-    return asked.join(picked, "share", "left")
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), only_finite(c).cast("double").alias("v")) for n, c in values.items()]))
+    pool = rows.select(cells.alias("c")).select("c.*").where("v IS NOT NULL")
+    total = {r["name"]: r for r in pool.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    # an open range: name, number, lo, hi, rows before it, rows, the ranks (from 0) wanted in it
+    todo, known = [], {}
+    for k, (name, r) in enumerate(sorted(total.items())):
+        ranks = {x for q in shares for at in [q * (r["n"] - 1)] for x in ([int(at)] if at == int(at) else [int(at), int(at) + 1])}
+        todo.append((name, k, r["lo"], r["hi"], 0, r["n"], ranks))
+    while todo:
+        for name, _, lo, hi, _, _, ranks in todo:
+            if lo == hi:
+                known.update({(name, x): lo for x in ranks})
+        todo = [t for t in todo if t[2] < t[3]]
+        if not todo:
+            break
+        ranges = F.broadcast(spark.createDataFrame([t[:4] for t in todo], "name string, range long, lo double, hi double"))
+        inside = pool.join(ranges, "name").where("v BETWEEN lo AND hi")
+        if all(t[5] <= FEW for t in todo):
+            wanted = F.broadcast(spark.createDataFrame([(t[1], x, x - t[4] + 1) for t in todo for x in sorted(t[6])], "range long, rank long, rn int"))
+            order = inside.withColumn("rn", F.row_number().over(Window.partitionBy("range").orderBy("v")))
+            known.update({(r["name"], r["rank"]): r["v"] for r in order.join(wanted, ["range", "rn"]).select("name", "rank", "v").collect()})
+            break
+        # halves first: the difference of two finite doubles may not be finite
+        at = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1))
+        found = inside.groupBy("name", "range", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        nxt = []
+        for name, k, _, _, before, _, ranks in todo:
+            for r in sorted((r for r in found if r["range"] == k), key=lambda r: r["bin"]):
+                here = {x for x in ranks if before <= x < before + r["n"]}
+                if here:
+                    nxt.append((name, len(nxt), r["lo"], r["hi"], before, r["n"], here))
+                before += r["n"]
+        todo = nxt
+    out = []
+    for name in values:
+        for q in shares:
+            value = None
+            if name in total:
+                at = q * (total[name]["n"] - 1)
+                value = known[name, int(at)] + ((at - int(at)) * (known[name, int(at) + 1] - known[name, int(at)]) if at > int(at) else 0.0)
+            out.append((name, float(q), value))
+    return spark.createDataFrame(out, "name string, share double, value double")
+
+
+def exact_quantiles(rows: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """share, value: exact pooled quantiles of one column."""
+    return pooled_quantiles(rows, {column: F.col(column)}, shares).drop("name")
+
+
+def array_quantile(values: Column, share: float) -> Column:
+    """The quantile of an array's finite elements with linear interpolation, in place: no shuffle of an image's pixels."""
+    ordered = F.array_sort(F.filter(values, lambda v: only_finite(v).isNotNull()))
+    # bound once: sorted again for each use otherwise
+    at = lambda a: F.lit(share) * (F.size(a) - 1)
+    low = lambda a: F.get(a, F.floor(at(a)).cast("int"))
+    pick = lambda a: low(a) + (at(a) - F.floor(at(a))) * (F.get(a, F.ceil(at(a)).cast("int")) - low(a))
+    return F.get(F.transform(F.array(ordered), lambda a: F.when(F.size(a) > 0, pick(a))), 0)
 
 
 def below_shares(rows: DataFrame, column: str, limits: list[float]) -> DataFrame:

@@ -55,18 +55,25 @@ RULES = (
 )
 
 
+#: Columns that an evaluation may lack because it was given no depth map or no network.
+OPTIONAL = frozenset({"lpips", "near_count", "mid_count", "far_count"})
+
+
 def configured(limits: dict[str, float], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
     """Rules with other limits, by 'metric:type'."""
     return tuple(Rule(r.modality, r.metric, r.kind, r.column, r.op, limits.get(f"{r.metric}:{r.kind}", r.limit), r.against) for r in rules)
 
 
-def warnings(per_image: DataFrame, modality: str, file_id: str = "img", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """file_id, metric, type, message, observed, expected: one pass, all rules of the modality whose columns are there.
-    Null and NaN never warn."""
+def warnings(per_image: DataFrame, modality: str, file_id: str = "img", rules: tuple[Rule, ...] = RULES, complete: bool = False) -> DataFrame:
+    """file_id, metric, type, message, observed, expected: one pass, all rules of the modality whose columns are there; if
+    complete, a rule without its columns raises, unless they are OPTIONAL. Null and NaN never warn."""
     found = []
     for r in rules:
-        if r.modality != modality or r.column not in per_image.columns or (r.against and r.against not in per_image.columns):
+        lacks = {r.column, r.against or r.column} - set(per_image.columns)
+        if r.modality != modality or lacks and (lacks <= OPTIONAL or not complete):
             continue
+        if lacks:
+            raise ValueError(f"rule {r.metric}:{r.kind} needs {', '.join(sorted(lacks))}")
         limit = F.lit(r.limit) * F.col(r.against) if r.against else F.lit(r.limit)
         v = F.col(r.column).cast("double")
         hit = ~F.isnan(v) & ((v > limit) if r.op == ">" else (v < limit))

@@ -42,10 +42,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _quantiles(rows: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """Exact pooled quantiles as one wide row."""
-    found = reduce.exact_quantiles(rows, column, list(shares.values()))
-    return found.agg(*[F.max(F.when(F.col("share") == q, F.col("value"))).alias(n) for n, q in shares.items()])
+def _quantiles(rows: DataFrame, values: dict, shares: dict[str, float]) -> DataFrame:
+    """Exact pooled quantiles of several values as one wide row: <value>.<share's name>."""
+    found = reduce.pooled_quantiles(rows, values, list(shares.values()))
+    at = lambda v, q: (F.col("name") == v) & (F.col("share") == q)
+    return found.agg(*[F.max(F.when(at(v, q), F.col("value"))).alias(f"{v}.{n}") for v in values for n, q in shares.items()])
+
+
+def _normals(angles: DataFrame, space: str, bin_: str = "") -> list[DataFrame]:
+    """Pooled normal metrics; consistency is the mean dot product."""
+    middle = reduce.exact_quantiles(angles, "angle", [0.5]).select(F.col("value").alias("median_angle"))
+    means = angles.agg(F.avg("angle").alias("mean_angle"), F.avg(F.cos(F.radians("angle"))).alias("consistency"))
+    shares = reduce.below_shares(angles, "angle", [11.25, 22.5, 30])
+    return [long_table(d, "depth", space, "geometric_metrics", {c: f"normal_consistency.{c}" for c in d.columns}, bin_=bin_) for d in (middle, means, shares)]
 
 
 def _means(per_image: DataFrame, columns: list[str]) -> DataFrame:
@@ -60,9 +69,9 @@ def _depth_space(pairs: DataFrame, space: str, sky: bool, benchmark: tuple[float
     ten = {m: m for m in reduce.STANDARD}
     parts = [long_table(reduce.standard_reducers(stats), "depth", space, "standard", ten)]
     errors = reduce.depth_errors(px, ok)
-    for column, metric in (("absrel", "absrel"), ("err", "rmse"), ("logerr", "silog")):
-        q = _quantiles(errors, column, {"median": 0.5, "p90": 0.9})
-        parts.append(long_table(q, "depth", space, "depth_metrics", {n: f"{metric}.{n}" for n in q.columns}))
+    values = {"absrel": F.col("absrel"), "rmse": F.col("err"), "silog": F.col("logerr")}
+    q = _quantiles(errors, values, {"median": 0.5, "p90": 0.9})
+    parts.append(long_table(q.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in q.columns]), "depth", space, "depth_metrics", {c.replace(".", "_"): c for c in q.columns}))
     # masked pixels are holes to the image metrics
     hole = pairs.withColumn("gt", F.zip_with("gt", "sky", lambda g, s: F.when(s, F.lit(0.0)).otherwise(g))) if sky else pairs
     per = stats.select("img", "n", *[c.alias(m) for m, c in reduce.standard_columns().items()])
@@ -70,7 +79,8 @@ def _depth_space(pairs: DataFrame, space: str, sky: bool, benchmark: tuple[float
     extra = px.withColumn("ok", ok).groupBy("img").agg(e2.alias("mse"), F.max(F.when(F.col("ok"), F.col("gt"))).alias("max_val"), F.min(F.when(F.col("ok"), F.col("gt"))).alias("depth_min"))
     extra = extra.withColumns({"psnr": F.when(F.col("mse").isNull(), 0.0).when(F.col("mse") < 1e-10, float("inf")).otherwise(10 * F.log10(F.col("max_val") ** 2 / F.col("mse"))), "depth_max": F.col("max_val"), "depth_range": F.col("max_val") - F.col("depth_min")})
     edges = images.depth_edge_f1(hole)
-    size = pairs.select("img", (F.col("height") * F.col("width")).alias("pixels"))
+    absrel = F.zip_with("gt", "pred", lambda g, p: F.when((g > 0) & (p > 0), F.abs(p - g) / g))
+    size = hole.select("img", (F.col("height") * F.col("width")).alias("pixels"), reduce.array_quantile(absrel, 0.5).alias("absrel_median"), reduce.array_quantile(absrel, 0.9).alias("absrel_p90"))
     angles = cut(images.normal_angles(hole))
     angle = angles.groupBy("img").agg(F.avg("angle").alias("mean_angle"), F.count(F.lit(1)).alias("angle_pixels"))
     per = per.join(extra.drop("mse"), "img").join(images.depth_ssim(hole if ssim_sky else pairs), "img").join(edges, "img").join(angle, "img", "left").join(size, "img")
@@ -79,21 +89,22 @@ def _depth_space(pairs: DataFrame, space: str, sky: bool, benchmark: tuple[float
     parts.append(long_table(_means(per, ["silog"]), "depth", space, "depth_metrics", {"silog": "silog.mean"}))
     some = per.where("gt_edges > 0 OR pred_edges > 0")
     parts.append(long_table(_means(some, ["precision", "recall", "f1"]), "depth", space, "geometric_metrics", {c: f"depth_edge_f1.{c}" for c in ("precision", "recall", "f1")}))
-    middle = reduce.exact_quantiles(angles, "angle", [0.5]).select(F.col("value").alias("median"))
-    shares = reduce.below_shares(angles, "angle", [11.25, 22.5, 30])
-    parts += [long_table(d, "depth", space, "geometric_metrics", {c: f"normal_consistency.{n}" for c, n in names.items()}) for d, names in ((middle, {"median": "median_angle"}), (shares, {c: c for c in shares.columns}), (angles.agg(F.avg("angle").alias("mean")), {"mean": "mean_angle"}))]
+    parts += _normals(angles, space)
     if benchmark:
         inside = px.where(ok & masks.finite("pred"))
         b = reduce.binned_stats(inside, masks.benchmark_bin("gt", *benchmark), ["img"])
         for name in ("all", "near", "mid", "far"):
             rows = reduce.standard_reducers(b.where(F.col("bin") == name)).withColumn("bin", F.lit(name))
             parts.append(long_table(rows, "depth", space, "standard", ten))
+        by_bin = cut(images.normal_angles(hole, benchmark))
+        for name in ("all", "near", "mid", "far"):
+            parts += _normals(by_bin.where(F.col("bin") == name), space, name)
     return parts, per.withColumn("space", F.lit(space))
 
 
 def evaluate_depth(pairs: DataFrame, mode: str = "auto_affine", intrinsics: tuple | None = None, radial: bool = True, benchmark: tuple[float, float] | None = None, trim: float = 0.95, ssim_sky: bool = False, features: DataFrame | None = None) -> Result:
-    """pairs: img, height, width, gt, pred and optionally sky. Planar maps are made radial with intrinsics (fx, fy, cx, cy)
-    unless radial; predictions in [-1, 1] (seen in the first sample) or mode 'affine' are fitted to the ground truth."""
+    """pairs: img, height, width, gt, pred and optionally sky. Planar maps are made radial with intrinsics (fx, fy, cx, cy:
+    numbers, or columns of pairs) unless radial; predictions in [-1, 1] (seen in the first sample) or mode 'affine' are fitted to the ground truth."""
     if pairs.isEmpty():
         raise ValueError("there are no image pairs")
     sky = "sky" in pairs.columns
@@ -107,8 +118,8 @@ def evaluate_depth(pairs: DataFrame, mode: str = "auto_affine", intrinsics: tupl
     if "native" in emitted and "metric" in emitted:
         # a normalised prediction is fitted as it came, without the radial factor
         base = native.drop("pred").join(pairs.select("img", "pred"), "img") if normalised else native
-        fit_px = pixels(base, "gt", "pred", *(("sky",) if sky else ()))
-        mask = align.trimmed(fit_px, trim) if sky else masks.fit_mask()
+        fit_px = pixels(align.with_trim(base, trim), "gt", "pred", "sky", keep=("trim",)) if sky else pixels(base, "gt", "pred")
+        mask = align.trimmed() if sky else masks.fit_mask()
         fit = align.affine_fit(fit_px, mask).select("img", "s", "t")
         metric = base.join(fit, "img").withColumn("pred", F.transform("pred", lambda p: (F.col("s") * p + F.col("t")).cast("float").cast("double"))).drop("s", "t")
     parts, per = [], []
@@ -120,20 +131,34 @@ def evaluate_depth(pairs: DataFrame, mode: str = "auto_affine", intrinsics: tupl
         parts.append(long_table(distribution.fid(features), "depth", emitted[-1], "image_quality", {"fid": "fid"}))
         parts.append(long_table(distribution.kid_subsets(features), "depth", emitted[-1], "image_quality", {"kid_mean": "kid_mean", "kid_std": "kid_std"}))
     per_image = _union(per)
-    report = rules.report(rules.warnings(per_image.where(F.col("space") == emitted[-1]), "depth"))
+    report = rules.report(rules.warnings(per_image.where(F.col("space") == emitted[-1]), "depth", complete=True))
     return Result(_union(parts), per_image, report, {"spaces": emitted, "normalised": normalised})
 
 
+def benchmark_rgb(px: DataFrame, benchmark: tuple[float, float], sky: str | None = None) -> DataFrame:
+    """bin, mae, mse: means over images of the errors (ae, se) in each bin of the benchmark range and in all of it, without
+    sky. A bin that is empty in an image counts there as 0."""
+    bin_ = masks.benchmark_bin("depth", *benchmark)
+    rows = px.withColumn("bin", F.when(~F.coalesce(F.col(sky), F.lit(False)), bin_) if sky else bin_)
+    names = ("all", "near", "mid", "far")
+    inside = lambda b: F.col("bin").isNotNull() if b == "all" else F.col("bin") == b
+    per = rows.groupBy("img").agg(*[F.coalesce(F.avg(F.when(inside(b), F.col(c))), F.lit(0.0)).alias(f"{m}_{b}") for b in names for m, c in (("mae", "ae"), ("mse", "se"))])
+    one = per.agg(*[F.avg(c).alias(c) for c in per.columns if c != "img"])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"mae_{b}").alias("mae"), F.col(f"mse_{b}").alias("mse")) for b in names])).alias("r")).select("r.*")
+
+
 def evaluate_rgb(pairs: DataFrame, sky: bool = False, depth: bool = False, benchmark: tuple[float, float] | None = None, features: DataFrame | None = None) -> Result:
     """pairs: img, height, width, gr, gg, gb, pr, pg, pb and optionally sky and depth. Sky pixels are set to 0 in both."""
     if pairs.isEmpty():
         raise ValueError("there are no image pairs")
     if sky:
         pairs = pairs.withColumns({c: F.zip_with(c, "sky", lambda v, s: F.when(s, F.lit(0.0)).otherwise(v)) for c in images.RGB})
-    px = pixels(pairs, *images.RGB, *(("depth",) if depth else ()))
+    error = lambda z: (F.abs(z["pr"] - z["gr"]) + F.abs(z["pg"] - z["gg"]) + F.abs(z["pb"] - z["gb"])) / 3
+    tails = pairs.withColumn("ae", F.transform(F.arrays_zip(*images.RGB), error)).select("img", reduce.array_quantile(F.col("ae"), 0.95).alias("p95"), reduce.array_quantile(F.col("ae"), 0.99).alias("p99"))
+    px = pixels(pairs, *images.RGB, *(("depth",) if depth else ()), *(("sky",) if sky else ()))
     channel = lambda f: (f("r") + f("g") + f("b")) / 3
     px = px.withColumns({"ae": channel(lambda c: F.abs(F.col(f"p{c}") - F.col(f"g{c}"))), "se": channel(lambda c: F.pow(F.col(f"p{c}") - F.col(f"g{c}"), 2))})
-    by_img = [F.avg("se").alias("mse"), F.percentile("ae", 0.95).alias("p95"), F.percentile("ae", 0.99).alias("p99"), F.max(F.greatest(*images.RGB)).alias("rgb_max"), F.min(F.least(*images.RGB)).alias("rgb_min")]
+    by_img = [F.avg("se").alias("mse"), F.max(F.greatest(*images.RGB)).alias("rgb_max"), F.min(F.least(*images.RGB)).alias("rgb_min")]
     bins: dict[str, str] = {}
     if depth:
         px = px.withColumn("bin", masks.fixed_bin("depth"))
@@ -144,23 +169,22 @@ def evaluate_rgb(pairs: DataFrame, sky: bool = False, depth: bool = False, bench
                 bins[f"bin_{m}_{b}"] = f"{m}.{b}"
         by_img += [F.count(F.when(F.col("bin") == b, 1)).alias(f"{b}_count") for b in ("near", "mid", "far")]
     per = px.groupBy("img").agg(*by_img).withColumn("psnr", F.when(F.col("mse") < 1e-10, float("inf")).otherwise(10 * F.log10(1 / F.col("mse")))).drop("mse")
-    per = per.join(images.rgb_ssim(pairs), "img").join(images.rgb_edge_f1(pairs), "img").join(images.chroma_error(pairs), "img").join(images.hf_energy(pairs), "img")
+    per = per.join(tails, "img").join(images.rgb_ssim(pairs), "img").join(images.rgb_edge_f1(pairs), "img").join(images.chroma_error(pairs), "img").join(images.hf_energy(pairs), "img")
     per = cut(per)
     parts = [
         long_table(_means(per, ["psnr", "ssim", "sce"]), "rgb", "", "image_quality", {c: c for c in ("psnr", "ssim", "sce")}),
         long_table(_means(per.where("gt_edges > 0 OR pred_edges > 0"), ["precision", "recall", "f1"]), "rgb", "", "edge_f1", {c: c for c in ("precision", "recall", "f1")}),
         long_table(_means(per, ["gt_hf_ratio", "pred_hf_ratio", "relative_diff"]), "rgb", "", "high_frequency", {c: c for c in ("gt_hf_ratio", "pred_hf_ratio", "relative_diff")}),
-        long_table(_quantiles(px, "ae", {"p95": 0.95, "p99": 0.99}), "rgb", "", "tail_errors", {"p95": "p95", "p99": "p99"}),
+        long_table(per.agg(F.stddev_pop(masks.only_finite("relative_diff")).alias("std")), "rgb", "", "high_frequency", {"std": "relative_diff_std"}),
+        long_table(reduce.exact_quantiles(px, "ae", [0.95, 0.99]).groupBy().pivot("share", [0.95, 0.99]).agg(F.max("value")).toDF("p95", "p99"), "rgb", "", "tail_errors", {"p95": "p95", "p99": "p99"}),
     ]
     if bins:
         parts.append(long_table(_means(per, list(bins)), "rgb", "", "depth_binned_photometric", bins))
     if depth and benchmark:
-        rows = px.withColumn("bin", masks.benchmark_bin("depth", *benchmark)).where("bin IS NOT NULL")
-        each = [rows.groupBy("img", "bin").agg(F.avg("ae").alias("mae"), F.avg("se").alias("mse")), rows.groupBy("img").agg(F.avg("ae").alias("mae"), F.avg("se").alias("mse")).withColumn("bin", F.lit("all"))]
-        parts += [long_table(e.groupBy("bin").agg(F.avg("mae").alias("mae"), F.avg("mse").alias("mse")), "rgb", "", "benchmark", {"mae": "mae", "mse": "mse"}) for e in each]
+        parts.append(long_table(benchmark_rgb(px, benchmark, "sky" if sky else None), "rgb", "", "benchmark", {"mae": "mae", "mse": "mse"}))
     if features is not None:
         parts.append(long_table(distribution.fid(features), "rgb", "", "image_quality", {"fid": "fid"}))
-    return Result(_union(parts), per, rules.report(rules.warnings(per, "rgb")))
+    return Result(_union(parts), per, rules.report(rules.warnings(per, "rgb", complete=True)))
 
 
 def evaluate_rays(px: DataFrame, domain: str = "lfov", sky: str | None = None) -> Result:
@@ -174,4 +198,4 @@ def evaluate_rays(px: DataFrame, domain: str = "lfov", sky: str | None = None) -
     r = per.agg(F.avg("rho_a").alias("mean"), F.percentile("rho_a", 0.5).alias("median"), F.stddev_pop("rho_a").alias("std"))
     shares = rays.angular_summary(errors)
     parts = [long_table(r, "rays", "", "rho_a", {c: c for c in r.columns}), long_table(shares, "rays", "", "angular_error", {c: c for c in shares.columns}), long_table(reduce.histogram_median(errors, "angle"), "rays", "", "angular_error", {"median_angle": "median_angle"})]
-    return Result(_union(parts), per, rules.report(rules.warnings(per, "rays")), {"domain": domain})
+    return Result(_union(parts), per, rules.report(rules.warnings(per, "rays", complete=True)), {"domain": domain})

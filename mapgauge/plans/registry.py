@@ -96,12 +96,8 @@ def _quantile_sql(px: str) -> str:
 
 
 def _quantiles(px) -> DataFrame:
-    rows = reduce.depth_errors(px)
-    out = None
-    for m in ("absrel", "err", "logerr"):
-        one = reduce.exact_quantiles(rows, m, [0.5, 0.9]).select(F.lit(m).alias("metric"), "share", "value")
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
+    names = ("absrel", "err", "logerr")
+    return rounded(reduce.pooled_quantiles(reduce.depth_errors(px), {m: F.col(m) for m in names}, [0.5, 0.9]).withColumnRenamed("name", "metric"))
 
 
 @query(_quantile_sql(PX_DEPTH))
@@ -174,7 +170,8 @@ _TRIM = "tp AS (SELECT img, quantile_cont(gt, 0.95) AS top FROM px WHERE gt > 0
 
 @query(f"WITH {PX_NORM}, {_TRIM}, {_FIT.format('tr', 'gt > 0 AND NOT sky')} SELECT img, n, round(s, 6) AS s, round(t, 6) + 0.0 AS t, n >= 2 AS fitted FROM ft")
 def affine_fit_p95(spark, d):
-    return rounded(align.affine_fit(_norm(spark, d), align.trimmed(_norm(spark, d))))
+    px = fx.pixels(align.with_trim(fx.normalised_pairs(spark, d)), "gt", "pred", "sky", keep=("trim",))
+    return rounded(align.affine_fit(px, align.trimmed()))
 
 
 @query(_standard(f"{PX_NORM.replace('px AS', 'p0 AS', 1)}, {_FIT.format('p0', 'gt > 0 AND NOT sky')}, px AS (SELECT img, gt, CASE WHEN sky THEN NULL ELSE CAST(CAST(s * pred + t AS FLOAT) AS DOUBLE) END AS pred FROM p0 JOIN ft USING (img))"))
@@ -276,6 +273,12 @@ def _abs():
     return _channels(lambda p, g: F.abs(p - g))
 
 
+def _error_arrays(spark, d) -> DataFrame:
+    """img, height, width, e: each image's errors in its row."""
+    error = lambda z: (F.abs(z["pr"] - z["gr"]) + F.abs(z["pg"] - z["gg"]) + F.abs(z["pb"] - z["gb"])) / 3
+    return fx.rgb_pairs(spark, d).select("img", "height", "width", F.transform(F.arrays_zip(*images.RGB), error).alias("e"))
+
+
 def _sq():
     return _channels(lambda p, g: F.pow(p - g, 2))
 
@@ -294,7 +297,8 @@ def rgb_psnr_masked(spark, d):
 
 @query(f"WITH {PX_RGB} SELECT img, {', '.join(f'round(quantile_cont({_ABS}, {q}), 6) AS {n}' for n, q in (('p95', 0.95), ('p99', 0.99)))}, round(max({_ABS}), 6) AS max FROM px GROUP BY img")
 def tail_errors(spark, d):
-    return rounded(_rgb(spark, d).withColumn("e", _abs()).groupBy("img").agg(F.percentile("e", 0.95).alias("p95"), F.percentile("e", 0.99).alias("p99"), F.max("e").alias("max")))
+    e = _error_arrays(spark, d)
+    return rounded(e.select("img", reduce.array_quantile(F.col("e"), 0.95).alias("p95"), reduce.array_quantile(F.col("e"), 0.99).alias("p99"), F.array_max("e").alias("max")))
 
 
 @query(f"WITH {PX_RGB}, e AS (SELECT {_ABS} AS e FROM px) SELECT unnest([0.95, 0.99])::DOUBLE AS share, round(unnest(quantile_cont(e, [0.95, 0.99])), 6) AS value FROM e")
@@ -304,14 +308,14 @@ def tail_errors_pooled(spark, d):
 
 @query(f"WITH {PX_RGB} SELECT img, " + ", ".join(f"round(quantile_cont(abs(p{c}-g{c}), {q}), 6) AS {c}_{n}" for c in "rgb" for n, q in (("p95", 0.95), ("p99", 0.99))) + " FROM px GROUP BY img")
 def tail_errors_per_channel(spark, d):
-    return rounded(_rgb(spark, d).groupBy("img").agg(*[F.percentile(F.abs(F.col(f"p{c}") - F.col(f"g{c}")), q).alias(f"{c}_{n}") for c in "rgb" for n, q in (("p95", 0.95), ("p99", 0.99))]))
+    error = lambda c: F.zip_with(f"p{c}", f"g{c}", lambda p, g: F.abs(p - g))
+    return rounded(fx.rgb_pairs(spark, d).select("img", *[reduce.array_quantile(error(c), q).alias(f"{c}_{n}") for c in "rgb" for n, q in (("p95", 0.95), ("p99", 0.99))]))
 
 
 @query(f"WITH {PX_RGB}, e AS (SELECT img, i, j, {_ABS} AS e FROM px), q AS (SELECT img, quantile_cont(e, 0.95) AS q FROM e GROUP BY img) SELECT img, i, j, round(e, 6) AS e FROM e JOIN q USING (img) WHERE e >= q")
 def tail_mask(spark, d):
-    e = _rgb(spark, d).select("img", "i", "j", _abs().alias("e"))
-    q = e.groupBy("img").agg(F.percentile("e", 0.95).alias("q"))
-    return rounded(e.join(q, "img").where("e >= q").drop("q"))
+    e = _error_arrays(spark, d).withColumn("q", reduce.array_quantile(F.col("e"), 0.95))
+    return rounded(fx.pixels(e, "e", keep=("q",)).where("e >= q").drop("q"))
 
 
 @query(f"""WITH {PX_RGB}, e AS (SELECT img, {_ABS} AS a, {_SQ} AS s, CASE WHEN depth > 0 THEN CASE WHEN depth <= 1 THEN 'near' WHEN depth <= 5 THEN 'mid' ELSE 'far' END END AS b FROM px)
@@ -483,9 +487,121 @@ def kid_full_set(spark, d):
     return rounded(distribution.kid_full(fx.features(spark, d)))
 
 
-@query()
+@query(ORACLES["kid_full_set"].replace("AS kid_mean FROM k", "AS kid_mean, 0.0::DOUBLE AS kid_std FROM k"))
 def kid_subsets(spark, d):
-    return distribution.kid_subsets(fx.features(spark, d), subsets=20, size=100)
+    """A hundred subsets of up to a thousand; sets of no more are taken whole, in which case the twin has the same."""
+    return rounded(distribution.kid_subsets(fx.features(spark, d)))
+
+
+# --- aggregates and variants -------------------------------------------------------------------------------------------
+
+
+@query(_standard(PX_DEPTH).replace(OK, "gt > 8 AND pred > 8"))
+def standard_min_depth(spark, d):
+    """The standard metrics over pixels beyond a least depth."""
+    return rounded(reduce.standard_reducers(reduce.pixel_stats(_depth(spark, d), ["img"], masks.valid(least=8.0))))
+
+
+@query(f"WITH {PX_DEPTH}, st AS (SELECT img, {_SUMS} FROM px GROUP BY img), m AS (SELECT img, {_TEN} FROM st) SELECT " + ", ".join(f"round({f}, 6) AS {c}_{n}" for c in ("absrel", "rmse") for n, f in (("mean", f"avg({c})"), ("median", f"quantile_cont({c}, 0.5)"), ("std", f"stddev_pop({c})"))) + " FROM m")
+def image_reducers(spark, d):
+    """Mean, median and population deviation over images."""
+    stats = reduce.pixel_stats(_depth(spark, d), ["img"])
+    return rounded(reduce.image_reduce(stats.select("img", *[c.alias(m) for m, c in reduce.standard_columns().items()]), ["absrel", "rmse"]))
+
+
+@query(f"WITH {PX_RGB}, s AS (SELECT img, avg(CASE WHEN img % 3 = 0 THEN 0 ELSE {_SQ} END) AS mse FROM px GROUP BY img) SELECT round(avg(10*log10(1/mse)) FILTER (mse >= 1e-10), 6) AS psnr, count(*) AS images FROM s")
+def finite_mean(spark, d):
+    """Every third image is perfect: its infinite PSNR doesn't count."""
+    s = _rgb(spark, d).groupBy("img").agg(F.avg(F.when(F.col("img") % 3 == 0, 0.0).otherwise(_sq())).alias("mse"))
+    s = s.withColumn("psnr", F.when(F.col("mse") < 1e-10, float("inf")).otherwise(10 * F.log10(1 / F.col("mse"))))
+    return rounded(s.agg(F.avg(masks.only_finite("psnr")).alias("psnr"), F.count(F.lit(1)).alias("images")))
+
+
+@query(f"{_NORMALS} SELECT count(*) AS n, round(avg(angle), 5) AS mean_angle, round(quantile_cont(angle, 0.5), 5) AS median_angle, round(avg(cos(radians(angle))), 6) AS consistency FROM an")
+def normal_pool(spark, d):
+    """Normals over all pixels of all images."""
+    a = images.normal_angles(fx.depth_pairs(spark, d))
+    one = a.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("angle"), 5).alias("mean_angle"), F.round(F.avg(F.cos(F.radians("angle"))), 6).alias("consistency"))
+    return one.crossJoin(reduce.exact_quantiles(a, "angle", [0.5]).select(F.round("value", 5).alias("median_angle")))
+
+
+_IN_BIN = f"gt BETWEEN 8 AND 12 AND pred > 0 AND (bin = 'all' OR bin = CASE WHEN gt < {_A!r}::DOUBLE THEN 'near' WHEN gt < {_B!r}::DOUBLE THEN 'mid' ELSE 'far' END)"
+
+
+@query(f"""WITH {PX_DEPTH}, pb AS (SELECT px.*, bin FROM px, (VALUES ('all'), ('near'), ('mid'), ('far')) b(bin) WHERE {_IN_BIN}),
+    sb AS (SELECT a.img, a.bin, a.i, a.j, count(*) AS n, {_SX('b.gt', 'TRUE')} AS gx, {_SY('b.gt', 'TRUE')} AS gy, {_SX('b.pred', 'TRUE')} AS px_, {_SY('b.pred', 'TRUE')} AS py_ FROM pb a JOIN pb b ON a.img = b.img AND a.bin = b.bin AND abs(a.i-b.i) <= 1 AND abs(a.j-b.j) <= 1 GROUP BY ALL),
+    an AS (SELECT bin, degrees(acos(greatest(-1, least(1, (gx*px_ + gy*py_ + 1)/(sqrt(gx*gx+gy*gy+1)*sqrt(px_*px_+py_*py_+1)))))) AS angle FROM sb WHERE n = 9)
+    SELECT bin, count(*) AS n, round(avg(angle), 5) AS mean_angle FROM an GROUP BY bin""")
+def normal_bins(spark, d):
+    """Normals in each benchmark bin, whose mask is eroded by itself."""
+    a = images.normal_angles(fx.depth_pairs(spark, d), (8, 12))
+    return a.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("angle"), 5).alias("mean_angle"))
+
+
+@query(f"""WITH {PX_RGB}, e AS (SELECT img, {_ABS} AS a, {_SQ} AS s, CASE WHEN i > 0 AND depth BETWEEN 1 AND 9 THEN CASE WHEN depth < 25.0::DOUBLE/9 THEN 'near' WHEN depth < 49.0::DOUBLE/9 THEN 'mid' ELSE 'far' END END AS b FROM px),
+    m AS (SELECT img, bin, coalesce(avg(a) FILTER (b IS NOT NULL AND (bin = 'all' OR b = bin)), 0) AS mae, coalesce(avg(s) FILTER (b IS NOT NULL AND (bin = 'all' OR b = bin)), 0) AS mse FROM e, (VALUES ('all'), ('near'), ('mid'), ('far')) t(bin) GROUP BY ALL)
+    SELECT bin, round(avg(mae), 6) AS mae, round(avg(mse), 6) AS mse FROM m GROUP BY bin""")
+def benchmark_rgb_bins(spark, d):
+    """Means over images without the sky, here their top row; an empty bin counts as 0."""
+    from mapgauge.plans.evaluate import benchmark_rgb
+
+    px = _rgb(spark, d).withColumns({"ae": _abs(), "se": _sq(), "sky": F.col("i") == 0})
+    return rounded(benchmark_rgb(px, (1, 9), "sky"))
+
+
+@query(f"""WITH {PX_RGB}, {_DFT}, hr AS (SELECT img, sum(ge) FILTER (r > 0.75)/sum(ge) AS g, sum(pe) FILTER (r > 0.75)/sum(pe) AS p FROM po GROUP BY img)
+    SELECT round(avg(g), 6) AS gt_hf_ratio, round(avg(p), 6) AS pred_hf_ratio, round(avg((p-g)/g), 6) + 0.0::DOUBLE AS relative_diff, round(stddev_pop((p-g)/g), 6) AS relative_diff_std FROM hr""")
+def hf_aggregate(spark, d):
+    per = images.hf_energy(fx.rgb_pairs(spark, d))
+    return rounded(per.agg(*[F.avg(masks.only_finite(c)).alias(c) for c in ("gt_hf_ratio", "pred_hf_ratio", "relative_diff")], F.stddev_pop(masks.only_finite("relative_diff")).alias("relative_diff_std")))
+
+
+@query(f"WITH {PX_DEPTH}, {_EDGES.replace('0.1::DOUBLE * gt', '1.5::DOUBLE').replace('0.1::DOUBLE * pred', '1.5::DOUBLE')}, {_SCORE}")
+def depth_edge_f1_absolute(spark, d):
+    return rounded(images.depth_edge_f1(fx.depth_pairs(spark, d), 1.5, "absolute"))
+
+
+@query(f"""WITH {PX_DEPTH}, {_REFL}, ed AS (SELECT nb.img, nb.i, nb.j, {_GRAD('z.gt', (1, 2))} > 8 AND any_value(c.gt) > 0 AND any_value(c.pred) > 0 AS g, {_GRAD('z.pred', (1, 2))} > 8 AND any_value(c.gt) > 0 AND any_value(c.pred) > 0 AS p
+    FROM nb JOIN px z ON z.img = nb.img AND z.i = ni AND z.j = nj JOIN px c ON c.img = nb.img AND c.i = nb.i AND c.j = nb.j GROUP BY ALL), {_SCORE}""")
+def depth_edge_f1_sobel(spark, d):
+    return rounded(images.depth_edge_f1(fx.depth_pairs(spark, d), 8.0, "sobel"))
+
+
+@query(f"""WITH {PX_RGB}, pos AS (SELECT CAST(t AS INTEGER) AS t, least(greatest((t + 0.5::DOUBLE) * 8 / 12 - 0.5::DOUBLE, 0), 7) AS x FROM range(12) r(t)), w AS (SELECT t, CAST(s AS INTEGER) AS s, greatest(1 - abs(x - s), 0) AS w FROM pos, range(8) q(s) WHERE abs(x - s) < 1)
+    SELECT img, a.t AS i, b.t AS j, round(sum(gr*a.w*b.w), 6) AS gr FROM px JOIN w a ON a.s = i JOIN w b ON b.s = j GROUP BY ALL""")
+def resize_linear(spark, d):
+    return rounded(align.resize_linear(_rgb(spark, d).select("img", "i", "j", "gr"), (8, 8), (12, 12), "gr"))
+
+
+@query(f"WITH {PX_DEPTH}, r AS (SELECT img, min(gt) FILTER ({OK}) AS lo, max(gt) FILTER ({OK}) AS hi FROM px GROUP BY img) SELECT img, i, j, round(CASE WHEN hi - lo < 1e-8 THEN 0 ELSE greatest(0, least(1, (gt - lo)/(hi - lo))) END, 6) + 0.0::DOUBLE AS gt FROM px JOIN r USING (img)")
+def normalised_display(spark, d):
+    return rounded(align.normalise(_depth(spark, d), "gt", masks.valid()).select("img", "i", "j", "gt"))
+
+
+@query(f"""WITH {_FR}, k AS (SELECT [r_name] AS h, 'b' AS f, 1.0::DOUBLE AS fx FROM region UNION ALL SELECT [r_name], 'a', 2.0 FROM region UNION ALL SELECT [r_name, n_name], 'z', 3.0::DOUBLE + n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0)
+    SELECT hierarchy, file_id, coalesce((SELECT min(fx) FROM k WHERE h = hierarchy[1:2]), (SELECT arg_min(fx, f) FROM k WHERE h = hierarchy[1:1])) AS fx FROM fr""")
+def deepest_entry_wins(spark, d):
+    """Calibration a region, twice, and for every other nation: the deepest wins, of one level the smallest file id."""
+    n = fx.table(spark, d, "nation").join(fx.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    deep = n.where("n_nationkey % 2 = 0").select(F.array("r_name", "n_name").alias("hierarchy"), F.lit("z").alias("file_id"), (F.lit(3.0) + F.col("n_nationkey")).alias("fx"))
+    flat = fx.table(spark, d, "region").select(F.array("r_name").alias("hierarchy"), F.explode(F.array(*[F.struct(F.lit(f).alias("file_id"), F.lit(v).alias("fx")) for f, v in (("b", 1.0), ("a", 2.0))])).alias("e")).select("hierarchy", "e.*")
+    return match.attach_ancestor(fx.frame_table(spark, d, "gt").select("hierarchy", "file_id"), flat.unionByName(deep), ["fx"])
+
+
+@query(f"WITH {_FR} SELECT hierarchy, file_id, value FROM fr WHERE o_orderstatus = 'F'")
+def split_selection(spark, d):
+    from mapgauge.sources.manifests import split_of
+
+    status = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("file_id"), F.col("o_orderstatus").alias("split"))
+    return split_of(fx.frame_table(spark, d, "gt").join(status, "file_id"), "F").select("hierarchy", "file_id", "value")
+
+
+@query(f"WITH {_FR} SELECT hierarchy, file_id, value FROM fr WHERE file_id = (SELECT CAST(min(o_orderkey) AS VARCHAR) FROM orders)")
+def retrieve_one(spark, d):
+    frames = fx.frame_table(spark, d, "gt")
+    key = str(fx.table(spark, d, "orders").agg(F.min("o_orderkey")).first()[0])
+    found = frames.where(F.col("file_id") == key).select("hierarchy").first()
+    return match.retrieve(frames, list(found[0]), key).select("hierarchy", "file_id", "value")
 
 
 # --- rules and publication -------------------------------------------------------------------------------------------
@@ -496,6 +612,44 @@ def _facts(spark, d) -> DataFrame:
     return px.groupBy("img").agg(F.count(F.lit(1)).alias("n"), F.max("gt").alias("depth_max"), F.min("gt").alias("depth_min"), (F.max("gt") - F.min("gt")).alias("depth_range"), F.percentile("absrel", 0.5).alias("absrel_median"), F.percentile("absrel", 0.9).alias("absrel_p90"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"))
 
 
+def _rule_table(modality: str) -> tuple[dict[str, str], str]:
+    """A column for each that the modality's rules look at, made from the part table so that some rows break each rule, and
+    the rules as SQL."""
+    own = [r for r in rules.RULES if r.modality == modality]
+    columns: dict[str, str] = {}
+    for r in own:
+        for c in filter(None, (r.column, r.against)):
+            spread = f"CAST(p_partkey * {7 + 2 * len(columns)} % 101 AS DOUBLE) / CAST(101 AS DOUBLE)"
+            low = f" - CAST({abs(r.limit) * 2!r} AS DOUBLE)" if r.limit <= 0 else ""
+            columns.setdefault(c, f"{spread} * CAST({abs(r.limit) * 2 + 0.05!r} AS DOUBLE){low}")
+    cell = lambda r: f"SELECT '{r.metric}' AS metric, '{r.kind}' AS type, img, {r.column} AS o FROM f WHERE {r.column} {r.op} {r.limit!r}::DOUBLE" + (f" * {r.against}" if r.against else "")
+    made = ", ".join(f"{e} AS {c}" for c, e in columns.items())
+    sql = f"""WITH f AS (SELECT p_partkey AS img, {made} FROM part), w AS ({" UNION ALL ".join(cell(r) for r in own)})
+    SELECT metric, type, count(*) AS count, list_transform(list(o ORDER BY img)[1:5], lambda x: round(x, 6)) AS samples FROM w GROUP BY ALL"""
+    return columns, sql
+
+
+def _rule_report(spark, d, modality: str) -> DataFrame:
+    facts = fx.table(spark, d, "part").selectExpr("p_partkey AS img", *[f"{e} AS {c}" for c, e in _rule_table(modality)[0].items()])
+    r = rules.report(rules.warnings(facts, modality))
+    return r.select("metric", "type", "count", F.transform("samples", lambda x: F.round(x, 6)).alias("samples"))
+
+
+@query(_rule_table("depth")[1])
+def rules_depth(spark, d):
+    return _rule_report(spark, d, "depth")
+
+
+@query(_rule_table("rgb")[1])
+def rules_rgb(spark, d):
+    return _rule_report(spark, d, "rgb")
+
+
+@query(_rule_table("rays")[1])
+def rules_rays(spark, d):
+    return _rule_report(spark, d, "rays")
+
+
 #: Limits at which the derived images do warn.
 STRICT = {"depth_input:max_exceeded": 11.5, "absrel:median_too_high": 0.02, "rmse:rmse_too_high": 0.08, "ssim:depth_range_too_small": 1.8}
 

@@ -172,3 +172,52 @@ def test_kid_of_whole_sets_has_no_cap(spark):
     assert distribution.kid_full(d).first()["kid_mean"] == pytest.approx(want, abs=1e-9)
     assert distribution.kid_full(d, moment_dims=0, block=700).first()["kid_mean"] == pytest.approx(want, abs=1e-9)
     assert distribution.kid_full(d.where("set = 'gt'")).first()["kid_mean"] is None
+
+
+def test_fid_and_kid_against_numpy(spark):
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(90, 7)), rng.normal(0.3, 1.4, size=(70, 7))
+    rows = [("gt", k, v.tolist()) for k, v in enumerate(x)] + [("pred", 1000 + k, v.tolist()) for k, v in enumerate(y)]
+    f = spark.createDataFrame(rows, "set string, id long, x array<double>").repartition(5)
+    s, t = np.cov(x.T), np.cov(y.T)
+    want = ((x.mean(0) - y.mean(0)) ** 2).sum() + np.trace(s) + np.trace(t) - 2 * np.sqrt(np.linalg.eigvals(s @ t).real).sum()
+    assert distribution.fid(f).first()[0] == pytest.approx(want)
+    k = lambda a, b: (a @ b.T / 7 + 1) ** 3
+    off = lambda a: (k(a, a).sum() - np.trace(k(a, a))) / (len(a) * (len(a) - 1))
+    whole = off(x) + off(y) - 2 * k(x, y).mean()
+    assert distribution.kid_full(f).first()[0] == pytest.approx(whole)
+    # subsets of 70: all of pred and 70 of gt each time
+    got = distribution.kid_subsets(f, subsets=40, size=1000).first()
+    draws = [off(z) + off(y) - 2 * k(z, y).mean() for z in (x[rng.permutation(90)[:70]] for _ in range(400))]
+    assert abs(got["kid_mean"] - np.mean(draws)) < 6 * np.std(draws) / 40**0.5 and 0.5 < got["kid_std"] / np.std(draws) < 2
+    assert distribution.kid_subsets(f, subsets=3, size=20).first()["kid_std"] > 0
+    assert distribution.fid(f.where("id = 0")).first()[0] is None
+
+
+def test_quantiles_of_ties_and_wide_ranges(spark):
+    rng = np.random.default_rng(12)
+    pools = {"ties": [0.0] * 5000, "two": [1.0] * 3000 + [2.0] * 3001, "wide": [*(10.0 ** rng.uniform(-300, 300, 2000)).tolist(), -1e308, 1e308], "odd": [float("nan"), float("inf"), None, 3.0], "none": [None]}
+    for few in (10, 100_000):
+        reduce.FEW, kept = few, reduce.FEW
+        try:
+            for name, pool in pools.items():
+                d = spark.createDataFrame([(v,) for v in pool], "v double").repartition(3)
+                ok = np.array([v for v in pool if v is not None and np.isfinite(v)])
+                got = {r["share"]: r["value"] for r in reduce.exact_quantiles(d, "v", [0.0, 0.3, 0.5, 0.95, 1.0]).collect()}
+                for q, v in got.items():
+                    assert v == (pytest.approx(np.quantile(ok, q)) if len(ok) else None), (name, q)
+        finally:
+            reduce.FEW = kept
+
+
+def test_with_index_of_one_large_level(spark):
+    rows = [(["s", f"{k % 7}"], f"{k:05}") for k in range(3000)] + [([], "x"), (["t"], "y")]
+    got = match.with_index(spark.createDataFrame(rows, "hierarchy array<string>, file_id string").repartition(6)).collect()
+    for level in ("s", "t", None):
+        own = sorted((r["hierarchy"], r["file_id"], r["sample_idx"]) for r in got if (r["hierarchy"] or [None])[0] == level)
+        assert [x[2] for x in own] == list(range(len(own))) and own
+
+
+def test_a_rule_without_its_column_raises(spark):
+    with pytest.raises(ValueError):
+        rules.warnings(spark.createDataFrame([(1, 2.0)], "img long, psnr double"), "rgb", complete=True)
