@@ -7,7 +7,9 @@ import json
 import sys
 from pathlib import Path
 
-from mapgauge.sources.sinks import output_path, save_json, to_tree
+from pyspark.sql import functions as F
+
+from mapgauge.sources.sinks import file_tree, output_path, save_json, show, to_tree
 
 MODALITIES = ("depth", "rgb", "rays")
 
@@ -47,13 +49,59 @@ def load_config(path: str) -> dict:
     return config
 
 
+def pairs_of(spark, gt: dict | str, pred: dict | str, modality: str, calibration=None, segmentation=None):
+    """Image pairs of one modality: the prediction's table, where its path is a Parquet table of pairs, or the files that the
+    manifests of ground truth and prediction list."""
+    if str(_path(pred)).rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(_path(pred))
+    if modality == "rays":
+        raise ConfigError("rays are read from Parquet tables")
+    as_dict = lambda x: x if isinstance(x, dict) or x is None else {"path": x}
+    from mapgauge.sources.datasets import build_pairs
+
+    return build_pairs(spark, as_dict(gt), as_dict(pred), modality, as_dict(calibration), as_dict(segmentation))
+
+
+def evaluate(spark, config: dict, alignment: str = "auto_affine", benchmark: tuple[float, float] | None = None, domain: str = "lfov", skip: tuple[str, ...] = (), log=None):
+    """Yields (dataset, modality, result tree, output path) for each modality of each dataset; the trees are saved.
+
+    log, if given, is called with (dataset, modality, metrics) for each, where metrics are dotted names and values: a hook for
+    experiment loggers. The tree holds the whole's metrics, those of each file, and the sanity warnings.
+    """
+    from mapgauge.plans import evaluate as E
+
+    gt = config["gt"]
+    for d in config["datasets"]:
+        for m in MODALITIES:
+            if not _path(d.get(m)) or m in skip:
+                continue
+            table = pairs_of(spark, gt[m], d[m], m, gt.get("calibration"), gt.get("segmentation"))
+            info = {"name": d["name"], "modality": m}
+            if "aspect" in table.columns:
+                spatial = {r["spatial"]: r["n"] for r in table.groupBy("spatial").agg(F.count(F.lit(1)).alias("n")).collect()}
+                info |= {"spatial": spatial, "aspect_warnings": table.where("aspect").count()}
+            if m == "depth":
+                intrinsics = tuple(F.col(c) for c in ("fx", "fy", "cx", "cy")) if "fx" in table.columns else None
+                r = E.evaluate_depth(table, alignment, intrinsics, gt[m].get("radial", True) if isinstance(gt[m], dict) else True, benchmark=benchmark)
+            elif m == "rgb":
+                r = E.evaluate_rgb(table, "sky" in table.columns, "depth" in table.columns, benchmark)
+            else:
+                r = E.evaluate_rays(table, domain)
+            metrics = r.metrics.collect()
+            tree = to_tree(metrics) | {"dataset_info": info, "meta": r.info, "warnings": [w.asDict() for w in r.report.collect()], "files": file_tree(r.per_image.toLocalIterator(), m)}
+            if log is not None:
+                log(d["name"], m, {".".join(x for x in (w["modality"], w["space"], w["category"], w["reduction"], w["bin"], w["metric"]) if x): w["value"] for w in metrics})
+            yield d["name"], m, tree, save_json(tree, output_path(d, m))
+
+
 def main(argv: list[str] | None = None) -> int:
-    """Evaluates tables of image pairs: each dataset's modality path is a Parquet table as mapgauge.plans.evaluate takes it."""
+    """Evaluates datasets: each modality's path is a folder or zip archive with a manifest, or a Parquet table of pairs."""
     ap = argparse.ArgumentParser(prog="mapgauge", description=main.__doc__)
     ap.add_argument("config")
     ap.add_argument("--alignment", default="auto_affine", choices=["none", "auto_affine", "affine"])
     ap.add_argument("--benchmark", nargs=2, type=float, metavar=("MIN", "MAX"))
     ap.add_argument("--domain", default="lfov")
+    ap.add_argument("--report", default="sanity_check_report.json", help="where the warnings of the whole run go")
     for m in MODALITIES:
         ap.add_argument(f"--skip-{m}", action="store_true")
     args = ap.parse_args(argv)
@@ -64,23 +112,14 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     from pyspark.sql import SparkSession
 
-    from mapgauge.plans import evaluate as E
-
     spark = SparkSession.builder.getOrCreate()
-    bench = tuple(args.benchmark) if args.benchmark else None
-    for d in config["datasets"]:
-        for m in MODALITIES:
-            if not _path(d.get(m)) or getattr(args, f"skip_{m}"):
-                continue
-            table = spark.read.parquet(_path(d[m]))
-            if m == "depth":
-                r = E.evaluate_depth(table, args.alignment, benchmark=bench)
-            elif m == "rgb":
-                r = E.evaluate_rgb(table, "sky" in table.columns, "depth" in table.columns, bench)
-            else:
-                r = E.evaluate_rays(table, args.domain)
-            tree = to_tree(r.metrics.collect()) | {"dataset_info": {"name": d["name"], "modality": m}, "meta": r.info, "warnings": [w.asDict() for w in r.report.collect()]}
-            print(save_json(tree, output_path(d, m)))
+    warned: dict = {}
+    skip = tuple(m for m in MODALITIES if getattr(args, f"skip_{m}"))
+    for name, m, tree, at in evaluate(spark, config, args.alignment, tuple(args.benchmark) if args.benchmark else None, args.domain, skip):
+        print(show({k: tree[k] for k in tree if k != "files"}, f"{name}: {m}"))
+        print(at)
+        warned.setdefault(name, {})[m] = tree["warnings"]
+    print(save_json(warned, args.report))
     return 0
 
 

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapgauge.sources import png
+
 SCHEMA = "modality string, split string, hierarchy array<string>, file_id string, path string, meta map<string,string>"
 DEFAULTS = {"depth": {"radial_depth": True, "scale_to_meters": 1.0}, "rgb": {"rgb_range": [0, 1]}, "rays": {"fov_domain": None}}
 
 #: Loader name -> decoder of a file's bytes to an array.
-LOADERS: dict[str, Callable[[bytes], np.ndarray]] = {"npy": lambda b: np.load(io.BytesIO(b), allow_pickle=False)}
+LOADERS: dict[str, Callable[[bytes], np.ndarray]] = {"npy": lambda b: np.load(io.BytesIO(b), allow_pickle=False), "png": png.decode}
 
 
 def register_loader(name: str, decode: Callable[[bytes], np.ndarray]) -> None:
@@ -38,8 +40,8 @@ def walk(node: dict, above: tuple[str, ...] = ()) -> Iterator[tuple[list[str], s
         yield from walk(child, (*above, name))
 
 
-def read_manifest(spark: SparkSession, path: str, modality: str, split: str = "") -> DataFrame:
-    """frames of one manifest. Manifests are parsed in tasks, one a file, so their number may be large."""
+def parse_manifests(texts: DataFrame, modality: str, split: str = "") -> DataFrame:
+    """frames of manifests given as texts, parsed in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +54,12 @@ def read_manifest(spark: SparkSession, path: str, modality: str, split: str = ""
                     schema=pa.schema([("modality", pa.string()), ("split", pa.string()), ("hierarchy", pa.list_(pa.string())), ("file_id", pa.string()), ("path", pa.string()), ("meta", pa.map_(pa.string(), pa.string()))]),
                 )
 
-    return spark.read.text(path, wholetext=True).mapInArrow(run, SCHEMA)
+    return texts.mapInArrow(run, SCHEMA)
+
+
+def read_manifest(spark: SparkSession, path: str, modality: str, split: str = "") -> DataFrame:
+    """frames of one manifest or, where the path is a pattern, of many, a task each."""
+    return parse_manifests(spark.read.text(path, wholetext=True), modality, split)
 
 
 def metadata(frames: DataFrame, kind: str) -> dict:
@@ -70,14 +77,19 @@ def decode_maps(spark: SparkSession, folder: str, name: str = "npy", glob: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, body in zip(batch.column(0), batch.column(1), strict=True):
-                a = np.asarray(read(body.as_py()), np.float64)
-                a = squeeze_map(a) if a.ndim != 3 or a.shape[-1] != 3 else a
+                a = as_map(read(body.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), *(pa.array([int(x)], pa.int32()) for x in (a.shape[0], a.shape[1], a.shape[2] if a.ndim == 3 else 1)), pa.array([a.ravel()], pa.list_(pa.float64()))], names=["path", "height", "width", "channels", "values"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
     return files.mapInArrow(run, "path string, height int, width int, channels int, values array<double>")
 
 
+def as_map(a: np.ndarray) -> np.ndarray:
+    """(h, w), or (h, w, 3) of an image; anything but an image is squeezed to a single map."""
+    a = np.asarray(a, np.float64)
+    return squeeze_map(a) if a.ndim != 3 or a.shape[-1] != 3 else a
+
+
 def squeeze_map(a: np.ndarray) -> np.ndarray:
     """(h, w) of a map given as (1, h, w), (h, w, 1), (1, 1, h, w) or (1, h, w, 1)."""
     out = np.squeeze(a)

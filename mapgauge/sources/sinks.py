@@ -34,6 +34,46 @@ def set_value(tree: dict, hierarchy: list[str], file_id: str, value: Any) -> dic
     return tree
 
 
+#: Per-image columns that aren't results.
+KEYS = ("img", "space")
+
+
+def file_tree(rows, modality: str) -> dict:
+    """Per-image results (rows with img, a path of levels and file id, and perhaps space) as a tree of levels and files, each
+    file's metrics under the names that the whole's have: <modality>.eval.<space>. rows may be an iterator; the tree itself
+    is one JSON document, so it holds a few numbers a file."""
+    out: dict = {}
+    seen: dict = {}
+    for r in rows:
+        r = r.asDict() if hasattr(r, "asDict") else dict(r)
+        *levels, name = [x for x in str(r["img"]).split("/") if x] or [""]
+        metrics = seen.get((*levels, name))
+        if metrics is None:
+            metrics = seen[(*levels, name)] = {modality: {"eval": {}}}
+            set_value(out, levels, name, metrics)
+        node = metrics[modality]["eval"]
+        if r.get("space"):
+            node = node.setdefault(r["space"], {})
+        node.update({k: v for k, v in r.items() if k not in KEYS})
+    return out
+
+
+def show(tree: dict, title: str) -> str:
+    """The tree as indented text, floats with six decimals."""
+    lines = ["=" * 60, title, "=" * 60]
+
+    def down(node: dict, depth: int) -> None:
+        for k, v in node.items():
+            if isinstance(v, dict):
+                lines.append(f"{'  ' * depth}{k}:")
+                down(v, depth + 1)
+            else:
+                lines.append(f"{'  ' * depth}{k}: " + (f"{v:.6f}" if isinstance(v, float) else str(v)))
+
+    down(tree, 0)
+    return "\n".join(lines)
+
+
 def to_tree(rows: list) -> dict:
     """modality, space, category, reduction, bin, metric, value rows as <modality>.eval.<space>.<category>..., empty
     dimensions left out."""

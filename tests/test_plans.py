@@ -49,6 +49,126 @@ def test_config_and_command_line(spark, tmp_path):
         assert config.main([str(f)]) == 1
     f = tmp_path / "good.json"
     f.write_text(json.dumps(good))
-    assert config.main([str(f), "--alignment", "none"]) == 0
+    assert config.main([str(f), "--alignment", "none", "--report", str(tmp_path / "report.json")]) == 0
     tree = json.loads((tmp_path / "out.depth.json").read_text())
     assert tree["depth"]["eval"]["metric"]["standard"]["pixel_pool"]["absrel"] > 0 and tree["dataset_info"]["name"] == "d"
+    files = tree["files"]["files"]
+    assert len(files) == 20 and files[0]["metrics"]["depth"]["eval"]["metric"]["absrel"] > 0
+    assert "depth" in json.loads((tmp_path / "report.json").read_text())["d"]
+
+
+def test_string_keys_and_a_perfect_pool(spark):
+    p = fx.depth_pairs(spark, SF).limit(6)
+    p = p.withColumn("img", p["img"].cast("string")).withColumn("pred", p["gt"])
+    got = by_key(evaluate.evaluate_depth(p, mode="none"))
+    assert got["metric", "depth_metrics", "", "", "absrel.median"] == 0
+    assert got["metric", "geometric_metrics", "", "", "normal_consistency.consistency"] == pytest.approx(1)
+
+
+def test_benchmark_rgb_bins_leave_out_sky_and_count_empty_bins(spark):
+    rows = [("a", 0.1, 1.0, 2.0, False), ("a", 0.3, 0.5, 9.0, False), ("a", 9.0, 9.0, 5.0, True), ("b", 0.5, 0.2, 2.0, False)]
+    px = spark.createDataFrame(rows, "img string, ae double, se double, depth double, sky boolean")
+    got = {r["bin"]: (r["mae"], r["mse"]) for r in evaluate.benchmark_rgb(px, (1, 10), "sky").collect()}
+    assert got["all"] == pytest.approx(((0.2 + 0.5) / 2, (0.75 + 0.2) / 2))
+    assert got["near"] == pytest.approx((0.3, 0.6)) and got["mid"] == (0, 0) and got["far"] == pytest.approx((0.15, 0.25))
+
+
+def test_datasets_end_to_end(spark, tmp_path):
+    import io
+    import zipfile
+
+    import numpy as np
+
+    from mapgauge.sources import datasets
+
+    rng = np.random.default_rng(3)
+    ids = [f"s{k % 2}/v/{k:03}" for k in range(6)]
+
+    def npy(a):
+        b = io.BytesIO()
+        np.save(b, a)
+        return b.getvalue()
+
+    truth = {i: rng.uniform(2, 9, (19, 26)) for i in ids}
+    gt, pred = tmp_path / "gt", tmp_path / "pred.zip"
+    for i, a in truth.items():
+        (gt / i).parent.mkdir(parents=True, exist_ok=True)
+        (gt / f"{i}.npy").write_bytes(npy(a))
+    (gt / "output.json").write_text(datasets.manifest_text({i: f"{i}.npy" for i in ids}))
+    with zipfile.ZipFile(pred, "w") as z:
+        for i in ids[:5]:
+            z.writestr(f"{i}.npy", npy(truth[i][:16, :24][None] * 1.1))
+        z.writestr("output.json", datasets.manifest_text({i: f"{i}.npy" for i in ids[:5]}))
+    k, sky = tmp_path / "k", tmp_path / "sky"
+    k.mkdir()
+    sky.mkdir()
+    (k / "m.npy").write_bytes(npy(np.array([[500.0, 0, 12], [0, 510.0, 8], [0, 0, 1]])))
+    (k / "output.json").write_text(datasets.manifest_text({"s0/m": "m.npy", "s1/m": "m.npy"}))
+    mask = np.zeros((19, 26))
+    mask[:3] = 1
+    (sky / "m.npy").write_bytes(npy(mask))
+    (sky / "output.json").write_text(datasets.manifest_text({i: "m.npy" for i in ids}))
+    pairs = datasets.build_pairs(spark, {"path": str(gt)}, {"path": str(pred)}, "depth", {"path": str(k)}, {"path": str(sky)})
+    rows = {r["img"]: r for r in pairs.collect()}
+    assert sorted(rows) == sorted(ids[:5])
+    for i, r in rows.items():
+        assert (r["height"], r["width"], r["spatial"], r["aspect"], r["fx"], r["cy"]) == (16, 24, "vae_crop", False, 500.0, 8.0)
+        assert np.allclose(np.array(r["gt"]).reshape(16, 24), truth[i][:16, :24]) and sum(r["sky"]) == 3 * 24
+    f = tmp_path / "c.json"
+    f.write_text(json.dumps({"gt": {"depth": str(gt), "calibration": str(k), "segmentation": str(sky)}, "datasets": [{"name": "z", "depth": str(pred), "output_file": str(tmp_path / "o.json")}]}))
+    logged = []
+    tree = next(t for *_, t, _ in config.evaluate(spark, config.load_config(str(f)), "none", log=lambda *x: logged.append(x)))
+    assert tree["depth"]["eval"]["metric"]["standard"]["pixel_pool"]["absrel"] == pytest.approx(0.1)
+    assert tree["files"]["children"]["s0"]["children"]["v"]["files"][0]["metrics"]["depth"]["eval"]["metric"]["absrel"] == pytest.approx(0.1)
+    assert tree["dataset_info"]["spatial"] == {"vae_crop": 5} and logged[0][2]["depth.metric.standard.pixel_pool.absrel"] == pytest.approx(0.1)
+    with pytest.raises(ValueError):
+        datasets.build_pairs(spark, {"path": str(gt)}, {"path": str(k)}, "depth")
+
+
+def test_to_size():
+    import numpy as np
+
+    from mapgauge.sources.datasets import kind_of, to_size
+
+    a = np.arange(48.0).reshape(6, 8)
+    assert to_size(a, 6, 8) is a and kind_of(375, 1242, 368, 1240) == "vae_crop" and kind_of(376, 1242, 368, 1240) == "resize"
+    assert np.allclose(to_size(a, 3, 4), a.reshape(3, 2, 4, 2).mean(axis=(1, 3)))
+    assert np.array_equal(to_size(a, 12, 16), a.repeat(2, axis=0).repeat(2, axis=1))
+    up = to_size(np.stack([a] * 3, axis=2), 12, 16)
+    assert up.shape == (12, 16, 3) and up[0, 0, 0] == a[0, 0] and up[0, 1, 0] == pytest.approx(0.25) and up[-1, -1, 2] == a[-1, -1]
+    assert set(np.unique(to_size(a > 20, 4, 5, mask=True))) <= {False, True}
+
+
+def test_png():
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from mapgauge.sources import png
+
+    rng = np.random.default_rng(5)
+
+    def paeth(a, b, c):
+        p = a + b - c
+        return min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+
+    def encode(a, colour):
+        h, w = a.shape[:2]
+        raw = (a.astype(">u2") if a.dtype == np.uint16 else a).tobytes()
+        stride, step = len(raw) // h, len(raw) // (h * w)
+        rows = [raw[i * stride : (i + 1) * stride] for i in range(h)]
+        out = b""
+        for i, row in enumerate(rows):
+            up = rows[i - 1] if i else bytes(stride)
+            left = lambda r, x: r[x - step] if x >= step else 0
+            guess = [lambda x: 0, lambda x: left(row, x), lambda x: up[x], lambda x: (left(row, x) + up[x]) // 2, lambda x: paeth(left(row, x), up[x], left(up, x))][i % 5]
+            out += bytes([i % 5]) + bytes((row[x] - guess(x)) & 255 for x in range(stride))
+        part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        return png.SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 16 if a.dtype == np.uint16 else 8, colour, 0, 0, 0)) + part(b"IDAT", zlib.compress(out)) + part(b"IEND", b"")
+
+    for shape, colour, kind in (((11, 7), 0, np.uint8), ((9, 8), 0, np.uint16), ((10, 6, 3), 2, np.uint8), ((7, 5, 4), 6, np.uint8)):
+        a = rng.integers(0, np.iinfo(kind).max, shape, dtype=kind)
+        assert np.array_equal(png.decode(encode(a, colour)), a[:, :, :3] if colour == 6 else a)
+    with pytest.raises(ValueError):
+        png.decode(encode(a, 6)[:-20])
