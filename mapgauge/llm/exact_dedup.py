@@ -1,9 +1,10 @@
 """Exact duplicates by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Each input partition makes one run: its digests in order, one entry each. In every round up to `fan_in` neighbouring runs
-are merged into one by a sorted aggregate on (run, digest), so an entry meets at most `fan_in` others however many copies
-its text has. What the root holds then goes down the same tree, again with at most `fan_in` entries a parent and digest:
-no step gathers the copies of one text in one task.
+Each input partition makes one run: its digests in order, one entry each. Many runs are first merged, several ways at once,
+into ROOTS; these then meet in binomial rounds: in round r the runs whose numbers differ in bit r alone. Every merge is a
+sorted aggregate on (run, digest), so an entry meets one other in a round however many copies its text has, and it keeps the
+identifier that stays and the number of copies. Entries are taken for equal only if their lengths and a second, independent
+digest agree too. What the root holds then goes down the same tree: no step gathers the copies of one text in one task.
 """
 
 from __future__ import annotations
@@ -11,33 +12,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import ascii_lower, cut, fresh, quoted, text_of
+from mapgauge.llm.common import ascii_lower, discard, fresh, quoted, stored, text_of
 
-#: A text's identity: SHA-256 of the normalised text, verified at each merge by its length.
-DIGEST = ("digest", "n_bytes")
+#: Runs that binomial rounds begin with, at most.
+ROOTS = 64
+#: A text's identity: SHA-256 of the normalised text, verified at each merge by its length and an xxHash.
+DIGEST = ("digest", "n_bytes", "check")
 
 
 def _identity(text_col: str) -> list:
     norm = ascii_lower(text_of(text_col)).cast("binary")
-    return [F.unhex(F.sha2(norm, 256)).alias("digest"), F.octet_length(norm).alias("n_bytes")]
-
-
-def _decide(rows: DataFrame, fan_in: int) -> DataFrame:
-    """rows: run, digest, n_bytes, tag (struct, its first field the identifier). Adds best (tag) and group_size."""
-    level = rows.groupBy("run", *DIGEST).agg(F.max("tag").alias("best"), F.count(F.lit(1)).alias("size"))
-    level = cut(level)
-    levels = [level]
-    runs = level.agg(F.max("run")).first()[0]
-    while runs:
-        up = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        level = cut(up.groupBy("run", *DIGEST).agg(F.max("best").alias("best"), F.sum("size").alias("size")))
+    return [F.unhex(F.sha2(norm, 256)).alias("digest"), F.octet_length(norm).alias("n_bytes"), F.xxhash64(norm).alias("check")]
+
+
+def _decide(rows: DataFrame, roots: int) -> DataFrame:
+    """rows: run, DIGEST, tag (struct, its first field the identifier). Adds best (tag) and size, the number of copies."""
+    level = stored(rows.groupBy("run", *DIGEST).agg(F.max("tag").alias("best"), F.count(F.lit(1)).alias("size")))
+    runs = (level.agg(F.max("run")).first()[0] or 0) + 1
+    levels, fans = [level], []
+    while runs > 1:
+        fan = 2 if runs <= roots else -(-runs // roots)
+        up = level.withColumn("run", F.floor(F.col("run") / fan).cast("int"))
+        level = stored(up.groupBy("run", *DIGEST).agg(F.max("best").alias("best"), F.sum("size").alias("size")))
         levels.append(level)
-        runs //= fan_in
+        fans.append(fan)
+        runs = -(-runs // fan)
     top = levels.pop()
-    for low in reversed(levels):
+    for low, fan in zip(reversed(levels), reversed(fans), strict=True):
         up = top.withColumnRenamed("run", "up")
-        low = low.select("run", *DIGEST, F.floor(F.col("run") / fan_in).cast("int").alias("up"))
-        top = low.join(up, ["up", *DIGEST]).drop("up")
+        found = low.select("run", *DIGEST, F.floor(F.col("run") / fan).cast("int").alias("up")).join(up, ["up", *DIGEST]).drop("up")
+        was, top = top, stored(found)
+        discard(was, low)
     return rows.join(top, ["run", *DIGEST])
 
 
@@ -45,10 +50,10 @@ def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row a document without its text, written once so that run and row number are data from here on."""
     others = F.xxhash64(*quoted(docs.columns))
     tag = F.struct(F.col(f"`{id_col}`").alias("id"), others.alias("others"), F.monotonically_increasing_id().alias("row"))
-    return cut(docs.select(F.spark_partition_id().alias("run"), *_identity(text_col), tag.alias("tag")))
+    return stored(docs.select(F.spark_partition_id().alias("run"), *_identity(text_col), tag.alias("tag")))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roots: int = ROOTS) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Of equal texts the row with the largest identifier stays; a null
@@ -56,7 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row and then by position. Null text is empty text. Empty tables give empty results; other columns are not read beyond
     that hash.
     """
-    done = _decide(_tagged(docs, id_col, text_col), fan_in)
+    done = _decide(_tagged(docs, id_col, text_col), roots)
     return done.select(
         F.col("tag.id").alias(id_col),
         F.col("best.id").alias("keep_id"),
@@ -66,9 +71,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", roots: int = ROOTS) -> DataFrame:
     """The rows of docs that stay, all columns. Rows equal in every column are told apart only by number: one is kept."""
-    done = _decide(_tagged(docs, id_col, text_col), fan_in)
+    done = _decide(_tagged(docs, id_col, text_col), roots)
     row, key = fresh(docs, "row_key", "digest_key")
     stay = done.where("tag = best").select(F.col("tag.others").alias(row), F.col("digest").alias(key))
     # more rows of the table may be equal to a kept one in every column
