@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from mapgauge.llm.bytekit import flat, slices, word_hashes
+from mapgauge.llm.bytekit import SPACE, flat, slices, word_hashes
 from mapgauge.llm.common import cut, table, text_of
 
 LENGTH = 1024
 WIDTH, DIMS, BITS = 256, 3, 16
 END = 0
+LONG_RUN = 1000
+#: Bytes of white space below U+0250, by any definition.
+MAYBE_SPACE = SPACE.copy()
+MAYBE_SPACE[[0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0xC2]] = True
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -73,12 +77,29 @@ def curve_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return hilbert(np.clip(cells, 0, 2**BITS - 1))
 
 
+def long_runs(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether a text has a run of LONG_RUN bytes or more without ASCII white space, or of what may be white space below
+    U+0250. Runs may reach over texts, which marks some more."""
+    out = np.zeros(len(off) - 1, bool)
+    for i, j in slices(off):
+        part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        if len(part) < LONG_RUN:
+            continue
+        for ok, kinds in ((SPACE[part], (False,)), (MAYBE_SPACE[part], (True,))):
+            edges = np.concatenate([[0], np.flatnonzero(ok[1:] != ok[:-1]) + 1, [len(ok)]])
+            big = np.flatnonzero((np.diff(edges) >= LONG_RUN) & np.isin(ok[edges[:-1]], kinds))
+            first, last = (np.searchsorted(at, edges[big + k] - k, "right") - 1 for k in (0, 1))
+            for a, b in zip(first, last, strict=True):
+                out[i + a : i + b + 1] = True
+    return out
+
+
 class Encoder:
     """Token ids of a text, as the `tokenizers` file gives them.
 
     A text of characters below U+0250 goes through the same vocabulary's rank file where there is one, which gives the same
-    ids (held by a test) in a third of the time; any other text, and one with a special token's string, goes through
-    `tokenizers` itself.
+    ids (held by a test) in a third of the time; any other text goes through `tokenizers` itself, and so does one with a
+    special token's string, and one of long_runs, which the rank file's encoder takes quadratic time or unbounded stack for.
     """
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
@@ -97,8 +118,8 @@ class Encoder:
                 known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
-    def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and (text.isascii() or max(text) < "ɐ") and not any(s in text for s in self.special):
+    def __call__(self, text: str, long_run: bool) -> list[int]:
+        if self.fast is not None and not long_run and (text.isascii() or max(text) < "ɐ") and not any(s in text for s in self.special):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
@@ -133,8 +154,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
         encode, pid, start = _encoder(tokenizer, ranks, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, sizes = [], []
-            for text in batch.column(1):
-                a = np.array([*encode(text.as_py()), END], np.uint32)
+            for text, long_run in zip(batch.column(1), long_runs(*flat(batch.column(1))).tolist(), strict=True):
+                a = np.array([*encode(text.as_py(), long_run), END], np.uint32)
                 sizes.append(len(a))
                 ids.append((a.astype(np.uint16) if a.max() < 65536 else a).tobytes())
             begin = start + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
