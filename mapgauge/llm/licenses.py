@@ -1,7 +1,8 @@
 """Licence scan by canonical digests, in DataFrame operations only.
 
-A text is normalised line by line: A-Z folded, copyright lines dropped, equivalent spellings made one, everything that is
-not a letter or digit made a single space. The SHA-256 of the whole normalised text is looked up among the digests of known
+A text is normalised line by line: A-Z folded, copyright statements dropped (lines that go on with a year, a sign, a name in
+brackets or 'by', and 'all rights reserved'), equivalent spellings made one, everything that is not a letter or digit made a
+single space. Lines are then joined, so how a text is wrapped doesn't matter. The SHA-256 of the whole normalised text is looked up among the digests of known
 licence texts, and each line's, which is an entire notice, among those of known notices: equi-joins on the digest.
 """
 
@@ -9,15 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-import textwrap
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapgauge.llm.common import LOWER, UPPER, ascii_lower, cut, table, text_of
-from mapgauge.llm.license_texts import FILES, NOTICES, TEXTS, TITLES
+from mapgauge.llm.license_texts import ALSO, FILES, NOTICES, TEXTS, TITLES
 
-COPYRIGHT = r"^[ \t\r*#/;-]*(copyright|\(c\)|©)"
+COPYRIGHT = r"^[ \t\r*#/;-]*(copyright[ \t]*:?[ \t]*(\(c\)|©|[0-9]{4}|by |<|\[|\{)|\(c\)|©|all rights reserved[. \t\r]*$)"
 NOISE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{2010}-\x{201F}©®]+"
 #: Spellings that mean the same, on lower-cased text.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("authorisation", "authorization"), ("whilst", "while"), ("favour", "favor"), ("&", " and "))
@@ -48,22 +48,16 @@ def canonical(text: str) -> list[str]:
     return out
 
 
-#: Line lengths at which known texts are wrapped: a line that begins with 'copyright' is dropped wherever a break puts it.
-WIDTHS = range(50, 133)
-
-
 def variants(text: str, titles: tuple[str, ...] = ()) -> list[str]:
-    """The canonical forms of a text unwrapped and wrapped, without a title, with one and with a line of rights reserved."""
-    wrapped = ("\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")) for w in WIDTHS)
-    bodies = dict.fromkeys(" ".join(canonical(t)) for t in (text, *wrapped))
-    heads = [" ".join(canonical(f"{t}\n{r}")) for t in ("", *titles) for r in ("", "All rights reserved.")]
-    return [f"{h} {b}".strip(" ") for b in bodies for h in heads]
+    """The canonical forms of a text without a title and with each of its usual ones."""
+    body = " ".join(canonical(text))
+    return [body, *(f"{' '.join(canonical(t))} {body}" for t in titles)]
 
 
 def known_digests(texts: dict[str, str] = TEXTS, notices: dict = NOTICES, files: dict[str, str] = FILES) -> list[tuple[str, str, str]]:
     """(kind, licence, digest) of known texts, files and notices."""
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    whole = [("text", k, sha(x)) for k, v in texts.items() for x in variants(v, TITLES.get(k, ()))]
+    whole = [("text", k, sha(x)) for k, v in texts.items() for wording in (v, *ALSO.get(k, ())) for x in variants(wording, TITLES.get(k, ()))]
     whole += [("text", k, d) for k, d in files.items()]
     return whole + [("notice", k, sha(" ".join(canonical(v)))) for k, all_ in notices.items() for v in all_]
 
