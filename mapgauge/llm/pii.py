@@ -1,9 +1,10 @@
 """Personal data by weak supervision.
 
 Base spans (e-mail, IP address, payment card, phone) follow fixed patterns and always stay. Further candidates (secrets,
-national numbers, IBANs, national phone numbers, spelt-out e-mail addresses, names) are proposed by patterns
-alone; there is no list of names. Labelers (format, gazetteer: known domains or a check of characters, context before, contrary context, shape, borders) vote for, against or abstain on
-every candidate; expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and the
+national numbers, IBANs, national phone numbers, spelt-out e-mail addresses) are proposed by patterns, and names by a
+gazetteer of given names and surnames, by a title or by words such as 'my name is'. Labelers (format, gazetteer: names and
+places, known domains or a check of characters, context before, contrary context, shape, borders) vote for, against or
+abstain on every candidate; expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and the
 posterior of each pattern; a logistic span classifier is trained on these posteriors and decides on the candidates that
 aren't base spans. Counts come from all candidates; the classifier is fitted on at most about FIT_SPANS of them.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapgauge.llm.common import cut, table, text_of
+from mapgauge.llm.gazetteers import GIVEN, PLACES, SURNAMES
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "national_id", "iban", "local_phone", "spelt_email", "name")
@@ -36,18 +38,23 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])")
+#: Of any length; a run is looked through once, from its start.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _SPELT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63} ?[\[(]dot[\])] ?[A-Za-z]{2,24}(?![A-Za-z])")
-_NAME = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?(?![a-z])")
+#: Capitalised words in a row, of which names are cut (names).
+_CAPITALS = re.compile(r"(?<![\w'])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,30}+(?:[ -][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,30}+)*+(?!\w)")
+_TITLES = frozenset("Mr Mrs Ms Dr Prof".split())
+_TITLE = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof)\.? $")
+_CUE = re.compile(r"(?:name is|name:|named|called|signed,?|signed by|regards,|sincerely,|dear) $", re.IGNORECASE)
 
 _DOMAINS = frozenset("com org net edu gov info io de fr es uk eu us".split())
 _CONTEXT = {
     "email": "mail contact write", "ip": "ip address host from server login", "card": "card visa pay credit account",
     "phone": "phone tel call mobile fax contact", "secret": "token key secret password passwd pwd auth bearer", "national_id": "ssn social id number",
-    "iban": "iban account bank", "local_phone": "phone tel call mobile fax contact", "spelt_email": "mail contact write", "name": "name dear signed author from",
+    "iban": "iban account bank", "local_phone": "phone tel call mobile fax contact", "spelt_email": "mail contact write", "name": "name dear signed author from mr mrs ms dr prof regards sincerely",
 }
 _CONTEXT = {k: re.compile(r"(?<![a-z])(?:" + "|".join(v.split()) + ")") for k, v in _CONTEXT.items()}
 _CONTRARY = re.compile(r"(?<![a-z])(?:version|isbn|commit|sha1|sha256|md5|page|figure|build|release|checksum|hash)[^a-z]{0,4}$")
@@ -99,17 +106,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def names(text: str, given=GIVEN, surnames=SURNAMES) -> Iterator[tuple[int, int]]:
+    """Where a name may be: in capitalised words from the first that follows a title or cue, or is a given name, or from the
+    one before a surname; two more words at most."""
+    for m in _CAPITALS.finditer(text):
+        words = [(w.start() + m.start(), w.end() + m.start(), w.group()) for w in re.finditer(r"[^ -]+", m.group())]
+        before = text[max(0, m.start() - 20) : m.start()]
+        first = 0 if _TITLE.search(before) or _CUE.search(before) else None
+        for k, (_, _, w) in enumerate(words):
+            if first is not None:
+                break
+            if w in _TITLES and k + 1 < len(words):
+                first = k + 1
+            elif w in given:
+                first = k
+            elif w in surnames and k:
+                first = k - 1
+        while first is not None and first < len(words) and words[first][2] in _TITLES:
+            first += 1
+        if first is not None and first < len(words):
+            yield words[first][0], words[min(first + 2, len(words) - 1)][1]
+
+
 def more_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of the added kinds that overlap no base span and, among themselves, no earlier one."""
     found = []
     digits = re.search("[0-9]", text) is not None
-    for kind, pattern, use in ((4, _SECRET, digits), (5, _NATIONAL, digits), (6, _IBAN, digits), (7, _LOCAL_PHONE, digits), (8, _SPELT, "at" in text and "dot" in text), (9, _NAME, any(t in text for t in ("Mr", "Ms", "Dr", "Prof")))):
+    for kind, pattern, use in ((4, _SECRET, digits), (5, _NATIONAL, digits), (6, _IBAN, digits), (7, _LOCAL_PHONE, digits), (8, _SPELT, "at" in text and "dot" in text)):
         if use:
             found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+    found += [(s, 9, e) for s, e in names(text)]
     out: list[tuple[int, int, int]] = []
     taken = sorted((s, e) for s, _, e in base)
     i = 0
-    for s, kind, e in sorted(found):
+    # of candidates with the same start the more specific kind
+    for s, kind, e in sorted(found, key=lambda x: (x[0], x[1] == 4, x[1])):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
         if (i < len(taken) and taken[i][0] < e) or (out and out[-1][2] > s):
@@ -144,6 +175,10 @@ def votes(text: str, s: int, kind: int, e: int) -> str:
         fmt, gaz = int("".join(str(int(c, 36)) for c in moved)) % 97 == 1, True
     elif name == "national_id":
         fmt, gaz = digits[:3] not in ("000", "666") and digits[3:5] != "00", digits[0] != "9"
+    elif name == "name":
+        words = re.findall(r"[^ -]+", span)
+        known, place = sum(w in GIVEN or w in SURNAMES for w in words), any(w in PLACES for w in words)
+        fmt, gaz = len(words) > 1 or known > 0, known > 0 and not place
     else:
         fmt, gaz = True, name != "local_phone" or digits[0] not in "01"
     context = "+" if _CONTEXT[name].search(before) else "0"
@@ -188,8 +223,9 @@ def reliabilities(counts: dict[tuple[int, str], int], rounds: int = 60) -> dict[
     return {k: float(p) for k, p in zip(keys, post, strict=True)}
 
 
-def fit_classifier(rows: list[list[int]], target: np.ndarray, epochs: int = 200) -> np.ndarray:
-    """Weights of a logistic model with an L2 penalty, the bias last, by full gradient steps on soft labels."""
+def fit_classifier(rows: list[list[int]], target: np.ndarray, times: np.ndarray | None = None, epochs: int = 200) -> np.ndarray:
+    """Weights of a logistic model with an L2 penalty, the bias last, by full gradient steps on soft labels. times: how often
+    each row occurs."""
     w = np.zeros(FEATURES + 1)
     if not rows:
         return w
@@ -197,9 +233,10 @@ def fit_classifier(rows: list[list[int]], target: np.ndarray, epochs: int = 200)
     for i, r in enumerate(rows):
         x[i, r] = 1
     x[:, -1] = 1
+    share = np.ones(len(rows)) / len(rows) if times is None else times / times.sum()
     for _ in range(epochs):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 1.0 * (x.T @ (p - target) / len(rows) + 1e-4 * w)
+        w -= 1.0 * (x.T @ ((p - target) * share) + 1e-4 * w)
     return w
 
 
@@ -210,7 +247,7 @@ def _text(spans: list[tuple[int, int, int]]) -> str:
 def find_pii(docs: DataFrame, id_col="doc_id", text_col="text", fit_spans: int = FIT_SPANS) -> DataFrame:
     """A row a document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end in code points, by start and
     then kind, comma-joined), n_added. Null text is empty and has no spans; other columns are ignored; an empty table gives
-    no rows."""
+    no rows. A repeated row gives equal rows; for the classifier it counts as often as it occurs."""
     kept = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
     names = ["id", *(f"n_{k}" for k in BASE), "base_sha256", "base", "cand"]
@@ -241,9 +278,10 @@ def find_pii(docs: DataFrame, id_col="doc_id", text_col="text", fit_spans: int =
     posterior = reliabilities(counts)
     share = min(1.0, fit_spans / max(sum(counts.values()), 1))
     draw = F.pmod(F.xxhash64(F.lit(31), "id", "c.s", "c.kind"), F.lit(1_000_000)) / 1e6
-    sample = spans.where(draw < share).select("c.kind", "c.vote", "c.found").collect()
+    # equal spans count together, so a row that is repeated adds weight and no rows
+    sample = spans.where(draw < share).groupBy("c.kind", "c.vote", "c.found").agg(F.count(F.lit(1)).alias("n")).collect()
     sample.sort(key=lambda r: (r["kind"], r["vote"], r["found"]))
-    weights = fit_classifier([r["found"] for r in sample], np.array([posterior[r["kind"], r["vote"]] for r in sample]))
+    weights = fit_classifier([r["found"] for r in sample], np.array([posterior[r["kind"], r["vote"]] for r in sample]), np.array([r["n"] for r in sample]))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
