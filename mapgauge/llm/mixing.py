@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapgauge.llm.common import cut, n_words, text_of
+from mapgauge.llm.common import cut, fresh, n_words, stored, text_of
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -100,18 +100,29 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 def sample_mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED) -> DataFrame:
     """The mix itself: each row of docs as many times as it is taken, its last copy with the first words only where the
-    fractional pass ends inside it. Columns as in docs; n_chars, if there, follows a shortened text."""
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), text_of(text_col).alias("text"))
-    marked = marked.withColumn("size", n_words(F.col("text"))).withColumn("place", _order("id", F.col("size"), seed))
-    sources, buckets = _plan(cut(marked.select("source", "size", "place")), weights, max_epochs)
-    done = _taken(marked.drop("text").withColumn("tie", F.xxhash64("doc")), sources, buckets, ["id", "size", "tie"])
-    text = F.col(f"doc.`{text_col}`")
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), 1, F.col("extra").cast("int")), "")
-    cut_text = F.when(F.col("extra") == F.col("size"), text).otherwise(part)
-    copies = F.when(F.col("passes") > 0, F.array_repeat(text, F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>"))
-    copies = F.when(F.col("extra") > 0, F.concat(copies, F.array(cut_text))).otherwise(copies)
-    out = done.select("doc", F.explode(copies).alias("copy"))
-    kept = {c: F.col(f"doc.`{c}`") for c in docs.columns} | {text_col: F.col("copy")}
+    fractional pass ends inside it. Columns as in docs; n_chars, if there, follows a shortened text. What is taken is decided
+    on rows without texts; documents are moved once. Texts without words are repeated with each whole pass over their source."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row, taken = fresh(docs, "row_key", "taken_as")
+    marked = docs.withColumn(row, F.xxhash64(doc))
+    light = marked.select(F.col(row).alias("tie"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(text_of(text_col)).alias("size"))
+    light = stored(light.withColumn("place", _order("id", F.col("size"), seed)))
+    sources, buckets = _plan(light, weights, max_epochs)
+    done = _taken(light, sources, buckets, ["id", "size", "tie"])
+    # rows that are equal in every column are interchangeable: their whole copies add up, and one of them at most is cut
+    part = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
+    whole = F.col("passes") + F.when((F.col("extra") > 0) & ~part, 1).otherwise(0)
+    wanted = done.groupBy("tie").agg(F.sum(whole).cast("int").alias("whole"), F.max(F.when(part, F.col("extra"))).cast("int").alias("part"), F.count(F.lit(1)).alias("n"))
+    wanted = stored(wanted.where("whole > 0 OR part IS NOT NULL").select(F.col("tie").alias(row), F.struct("whole", "part", "n").alias(taken)))
+    chosen = marked.join(wanted, row)
+    if not wanted.where(F.col(f"{taken}.n") > 1).isEmpty():
+        chosen = chosen.where(F.col(f"{taken}.n") == 1).unionByName(chosen.where(F.col(f"{taken}.n") > 1).dropDuplicates([row]))
+    text = F.col(f"`{text_col}`")
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), 1, F.col(f"{taken}.part")), "")
+    copies = F.concat(F.array_repeat(text, F.col(f"{taken}.whole")), F.when(F.col(f"{taken}.part").isNotNull(), F.array(cut_text)).otherwise(F.array().cast("array<string>")))
+    (copy,) = fresh(chosen, "copy")
+    out = chosen.withColumn(copy, F.explode(copies))
+    kept = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.col(copy)}
     if "n_chars" in kept:
-        kept["n_chars"] = F.when(F.col("copy") == text, F.col("doc.n_chars")).otherwise(F.length("copy").cast(docs.schema["n_chars"].dataType))
+        kept["n_chars"] = F.when(F.col(copy) == text, F.col("n_chars")).otherwise(F.length(copy).cast(docs.schema["n_chars"].dataType))
     return out.select(*[v.alias(c) for c, v in kept.items()])
