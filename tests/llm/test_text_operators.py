@@ -41,7 +41,7 @@ def test_exact_dedup(spark):
     groups = collections.defaultdict(list)
     for r in d.collect():
         groups[(r["text"] or "").translate(FOLD)].append(r["doc_id"])
-    got = exact_dedup.exact_groups(d, fan_in=2).collect()
+    got = exact_dedup.exact_groups(d, roots=4).collect()
     assert len(got) == d.count()
     kept = collections.Counter()
     for r in got:
@@ -49,7 +49,7 @@ def test_exact_dedup(spark):
         assert r["keep_id"] == max(x for x in groups[t] if x is not None) and r["group_size"] == len(groups[t])
         kept[t] += r["kept"]
     assert all(kept[t] == 1 for t in groups)
-    left = exact_dedup.drop_exact(d, fan_in=2)
+    left = exact_dedup.drop_exact(d, roots=2)
     assert left.columns == d.columns and sorted((r["text"] or "").translate(FOLD) for r in left.collect()) == sorted(groups)
     assert exact_dedup.exact_groups(empty(spark)).count() == 0 and exact_dedup.drop_exact(empty(spark)).count() == 0
 
@@ -113,6 +113,8 @@ def test_packing(spark):
     files = packing.public_files()
     rng = random.Random(6)
     texts = [*ODD[:6], "a" * 3000, "w " * 5000, "it's <|endoftext|> we'LL  \n\n x", *("".join(chr(rng.choice([32, 10, 39, 46, 50, 97, 115, 233, 0x24F, 0x250, 0x4E00, 0x1F600])) for _ in range(200)) for _ in range(60))]
+    # each of these alone ends the rank file's encoder, by its stack or in quadratic time
+    texts += [" " * 1_000_000, "\n" * 1_000_000, " \t\n\u00a0" * 250_000, "a" * 1_000_000, "é1" * 200_000, "word " * 100 + " " * 300_000]
     d = table(spark, texts)
     d = d.unionByName(d.where("doc_id < 3"))
     t = Tokenizer.from_file(files["tokenizer"])
@@ -423,6 +425,47 @@ def test_long_lines_are_compared_exactly(spark):
         assert r["ok"] == (edit(r["x"], r["y"]) <= 0.2 * longer + 1e-9), r
 
 
+def test_pii_candidates():
+    kinds = lambda t: [(pii.KINDS[k], t[s:e]) for s, k, e in pii.more_candidates(t, pii.base_spans(t))]
+    assert kinds("my name is Anna Schmidt, from Paris") == [("name", "Anna Schmidt")]
+    assert kinds("Dr. Quux met Mrs Zyx and José Garcia in New York") == [("name", "Quux"), ("name", "Zyx"), ("name", "José Garcia")]
+    assert kinds("The United Kingdom and Old Harbour") == []
+    for n in (20, 200, 201, 400, 100_000):
+        assert kinds("x " + "ab1" * n) == [("secret", "ab1" * n)]
+    assert kinds("pay to DE89370400440532013000 now") == [("iban", "DE89370400440532013000")]
+    assert kinds("a" * 500) == [] and kinds("") == []
+    rng = random.Random(8)
+    people = [f"{rng.choice(sorted(pii.GIVEN))} {rng.choice(sorted(pii.SURNAMES))}" for _ in range(300)]
+    texts = [f"yesterday {p} wrote to us about it" for p in people]
+    found = sum((10, "name", 10 + len(p)) in [(s, pii.KINDS[k], e) for s, k, e in pii.more_candidates(t, [])] for t, p in zip(texts, people, strict=True))
+    assert found >= 0.99 * len(people)
+
+
+def test_pii_reliabilities_against_plain_em():
+    """The same model in plain loops: two classes, votes independent given the class, a prior a kind."""
+    rng = random.Random(3)
+    truth = [(rng.randrange(3), rng.random() < 0.6) for _ in range(900)]
+    counts = collections.Counter((k, "".join(rng.choices("-0+", (1, 2, 7) if yes else (6, 3, 1))[0] for _ in range(6))) for k, yes in truth)
+    post = {key: 1 / (1 + np.exp(-sum("-0+".index(c) - 1 for c in key[1]))) for key in counts}
+    for _ in range(60):
+        like = {}
+        for yes in (True, False):
+            w = {key: counts[key] * (post[key] if yes else 1 - post[key]) for key in counts}
+            like[yes] = [{c: (0.5 + sum(x for key, x in w.items() if key[1][j] == c)) / (1.5 + sum(w.values())) for c in "-0+"} for j in range(6)]
+        prior = {k: (1 + sum(n * post[key] for key, n in counts.items() if key[0] == k)) / (2 + sum(n for key, n in counts.items() if key[0] == k)) for k in range(3)}
+        new = {}
+        for key in counts:
+            a, b = prior[key[0]], 1 - prior[key[0]]
+            for j, c in enumerate(key[1]):
+                a, b = a * like[True][j][c], b * like[False][j][c]
+            new[key] = a / (a + b)
+        moved, post = max(abs(new[k] - post[k]) for k in new), new
+        if moved < 1e-6:
+            break
+    got = pii.reliabilities(dict(counts))
+    assert max(abs(got[k] - post[k]) for k in counts) < 1e-4
+
+
 def test_licenses(spark):
     from mapgauge.llm.license_texts import TEXTS
 
@@ -446,3 +489,29 @@ def test_licenses_as_usual_files_have_them(spark):
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(table(spark, texts)).collect()}
     assert got == {0: "MIT", 1: "ISC", 2: "BSD-3-Clause", 3: None, 4: "ISC"}
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"} <= {i for _, i, d in licenses.known_digests() if d in FILES.values()}
+
+
+@pytest.mark.parametrize("name", ["ISC", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0"])
+def test_licenses_at_any_width(name):
+    import textwrap
+
+    from mapgauge.llm.license_texts import TEXTS, TITLES
+
+    known = {d for kind, k, d in licenses.known_digests() if kind == "text" and k == name}
+    for w in range(20, 200, 3):
+        body = "\n\n".join(textwrap.fill(p, w, break_long_words=False, break_on_hyphens=False) for p in TEXTS[name].split("\n\n"))
+        for text in (body, f"{TITLES[name][0]}\n\nCopyright 2001-2020, A B <a@b.c>\nAll rights reserved.\n\n{body}\n"):
+            assert hashlib.sha256(" ".join(licenses.canonical(text)).encode()).hexdigest() in known, (w, text[:200])
+
+
+def test_published_license_files():
+    import pathlib
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    at = pathlib.Path("/usr/share/common-licenses")
+    if not at.exists():
+        pytest.skip("no published files here")
+    known = {d: k for kind, k, d in licenses.known_digests() if kind == "text"}
+    for f, k in files.items():
+        if (at / f).exists():
+            assert known.get(hashlib.sha256(" ".join(licenses.canonical((at / f).read_text())).encode()).hexdigest()) == k
