@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+
+Null texts count as empty in every stage. Empty documents are scored by the classifier's bias alone; of those it keeps one is
+left by exact dedup. Documents without words are linked with nothing and repeated with each whole pass of the mix; an empty
+one is packed as id 0. Rows repeated in full are copies like any other. Without documents every stage gives an empty table with its
+columns; without labels of both classes the classifier keeps all or none.
 """
 
 from __future__ import annotations

@@ -58,17 +58,22 @@ def maximal_conversations(hashed: DataFrame) -> DataFrame:
     return ends.join(longer, ["pos", "p1", "p2"], "left_anti").select("conv", "copies")
 
 
+def escaped(text):
+    """Text in which <| can't occur, so no turn can look like the end of itself: <| becomes <\\|, and <\\ becomes <\\\\."""
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def format_chats(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", turns_per_part=TURNS_PER_PART) -> DataFrame:
     """Renders maximal conversations: conv_id, part, turns, copies, rendered.
 
     Turns are ordered by turn (null first), then role, then text; null role and text are empty. Rows without conversation
     identifier are one conversation. A conversation of more than turns_per_part turns comes in parts, which concatenate to
-    its text. An empty table gives no rows; other columns are ignored.
+    its text. Role and text are escaped, so a rendering can be parsed back. An empty table gives no rows; other columns are ignored.
     """
     hashed = cut(prefix_hashes(turns, conv_col, turn_col, role_col, text_col))
     keep = maximal_conversations(hashed).select(F.col("conv").alias("k_conv"), "copies")
     part = F.floor((F.col("pos") - 1) / turns_per_part).cast("long")
-    said = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
+    said = F.concat(F.lit("<|im_start|>"), escaped(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit("<|im_end|>\n"))
     rows = hashed.join(keep, hashed["conv"].eqNullSafe(F.col("k_conv")))
     parts = rows.groupBy("conv", part.alias("part"), "copies").agg(F.count(F.lit(1)).alias("turns"), F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("all"))
     return parts.select(F.col("conv").alias(conv_col), "part", "turns", "copies", F.array_join(F.col("all.said"), "").alias("rendered"))
@@ -78,6 +83,10 @@ def op7_chat(spark, sf_dir):
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def _escaped_sql(column: str) -> str:
+    return f"replace(replace({column}, '<' || chr(92), '<' || chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
+
+
 ORACLE = f"""
     WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations),
@@ -85,5 +94,5 @@ ORACLE = f"""
     e AS (SELECT s, min(conv_id) AS conv_id, count(*) AS copies FROM s GROUP BY s),
     k AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE left(b.s, 32) = left(e.s, 32) AND length(b.s) > length(e.s) AND starts_with(b.s, e.s)))
     SELECT k.conv_id, CAST((pos - 1) // {TURNS_PER_PART} AS BIGINT) AS part, count(*) AS turns, k.copies,
-        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+        string_agg('<|im_start|>' || {_escaped_sql("role")} || chr(10) || {_escaped_sql("text")} || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
     FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapgauge.functions.lineage import cut, shared_dir
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a few numbers that make a file of a small table.
@@ -15,29 +16,6 @@ ROWS_A_FILE = 250_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder: later reads neither recompute them nor depend on an executor."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    done = df.checkpoint(eager=True)
-    # A checkpointed plan keeps the estimates of the plan before; a join multiplies sizes, so in iterative jobs they grow to
-    # numbers of millions of digits. The same rows without estimates; adaptive execution measures what it needs.
-    session = spark._jsparkSession
-    return DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
-
-
 def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The same rows, written as a table into the shared folder: like cut, but Spark knows the table's size, so joins with a
     small one need no shuffle. rows: a bound on their number, if one is known, so that few rows make few files."""

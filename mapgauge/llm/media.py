@@ -319,6 +319,10 @@ _HEAD = (
 _SOS = b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
 
 
+#: Blocks whose bits are spread to bytes at once.
+BLOCKS_AT_ONCE = 1 << 15
+
+
 def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """JPEG files that hold the payloads (each a positive multiple of 64 bytes) in their coefficients."""
     count = np.diff(offsets) // BLOCK
@@ -329,20 +333,23 @@ def encode(payload: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     grid = np.zeros((at[-1], BLOCK), np.uint8)
     source = np.repeat(at[:-1] - offsets[:-1] // BLOCK, count) + np.arange(offsets[-1] // BLOCK)
     grid[source] = payload.reshape(-1, BLOCK)
-    bits = np.zeros((at[-1], BLOCK, 9), np.uint8)
-    bits[:, :, 1:] = np.unpackbits(grid, axis=1).reshape(-1, BLOCK, 8)
-    coded = np.packbits(bits.reshape(at[-1], -1), axis=1)
+    coded = np.empty((at[-1], BLOCK * 9 // 8), np.uint8)
+    for i in range(0, at[-1], BLOCKS_AT_ONCE):
+        part = grid[i : i + BLOCKS_AT_ONCE]
+        bits = np.zeros((len(part), BLOCK, 9), np.uint8)
+        bits[:, :, 1:] = np.unpackbits(part, axis=1).reshape(-1, BLOCK, 8)
+        coded[i : i + len(part)] = np.packbits(bits.reshape(len(part), -1), axis=1)
     number = np.arange(at[-1]) - np.repeat(at[:-1], cells)
     # each block's code bytes, then its restart marker; 0xFF among code bytes is followed by 0
     rows = np.empty((at[-1], coded.shape[1] + 2), np.uint8)
     rows[:, :-2], rows[:, -2], rows[:, -1] = coded, 0xFF, 0xD0 + number % 8
     stuff = rows[:, :-2] == 0xFF
-    extra = np.zeros(rows.shape, np.int64)
-    extra[:, 1:-1] = stuff
-    where = np.arange(rows.size) + np.cumsum(extra.ravel())
-    body = np.zeros(rows.size + int(stuff.sum()), np.uint8)
-    body[where] = rows.ravel()
-    ends = where[at[1:] * rows.shape[1] - 1] + 1
+    padded = np.zeros(rows.shape, bool)
+    padded[:, :-2] = stuff
+    stuffed = np.flatnonzero(padded)
+    del stuff, padded, coded, grid
+    body = np.insert(rows.ravel(), stuffed + 1, np.uint8(0))
+    ends = at[1:] * rows.shape[1] + np.searchsorted(stuffed, at[1:] * rows.shape[1])
     starts = np.concatenate([[0], ends[:-1]])
     out = []
     for n in range(len(count)):
