@@ -9,6 +9,7 @@ full but the last. Copies share a key; a hash of the row spreads them over parti
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,8 @@ from mapgauge.llm.common import cut, table, text_of
 LENGTH = 1024
 WIDTH, DIMS, BITS = 256, 3, 16
 END = 0
-LONG_RUN = 1000
+BLOCK = 500
+BEYOND = re.compile("[^\x00-\u024f]")
 #: Bytes of white space below U+0250, by any definition.
 MAYBE_SPACE = SPACE.copy()
 MAYBE_SPACE[[0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0xC2]] = True
@@ -78,19 +80,16 @@ def curve_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def long_runs(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Whether a text has a run of LONG_RUN bytes or more without ASCII white space, or of what may be white space below
-    U+0250. Runs may reach over texts, which marks some more."""
+    """Whether a text may have a run of 2 * BLOCK bytes without ASCII white space, or of what may be white space below
+    U+0250: such a run fills one of the blocks of BLOCK bytes. Runs may reach over texts, which marks some more."""
     out = np.zeros(len(off) - 1, bool)
     for i, j in slices(off):
         part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        if len(part) < LONG_RUN:
-            continue
-        for ok, kinds in ((SPACE[part], (False,)), (MAYBE_SPACE[part], (True,))):
-            edges = np.concatenate([[0], np.flatnonzero(ok[1:] != ok[:-1]) + 1, [len(ok)]])
-            big = np.flatnonzero((np.diff(edges) >= LONG_RUN) & np.isin(ok[edges[:-1]], kinds))
-            first, last = (np.searchsorted(at, edges[big + k] - k, "right") - 1 for k in (0, 1))
-            for a, b in zip(first, last, strict=True):
-                out[i + a : i + b + 1] = True
+        part = part[: len(part) // BLOCK * BLOCK].reshape(-1, BLOCK)
+        spaces, maybe = (kind.view(np.uint8)[part].sum(axis=1, dtype=np.uint16) for kind in (SPACE, MAYBE_SPACE))
+        for k in np.flatnonzero((spaces == 0) | (maybe == BLOCK)).tolist():
+            first, last = np.searchsorted(at, [k * BLOCK, (k + 1) * BLOCK - 1], "right") - 1
+            out[i + first : i + last + 1] = True
     return out
 
 
@@ -119,7 +118,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
     def __call__(self, text: str, long_run: bool) -> list[int]:
-        if self.fast is not None and not long_run and (text.isascii() or max(text) < "ɐ") and not any(s in text for s in self.special):
+        if self.fast is not None and not long_run and (text.isascii() or not BEYOND.search(text)) and not any(s in text for s in self.special):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 

@@ -519,3 +519,69 @@ def test_published_license_files():
     for f, k in files.items():
         if (at / f).exists():
             assert known.get(hashlib.sha256(" ".join(licenses.canonical((at / f).read_text())).encode()).hexdigest()) == k
+
+
+def grams(text):
+    b = (text or "").encode()
+    two = {(b[i] | b[i + 1] << 8) * 0x9E3779B1 % 2**32 >> 16 for i in range(len(b) - 1)}
+    return two | {(b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 0x85EBCA77 % 2**32 >> 16 for i in range(len(b) - 2)}
+
+
+def test_quality_counts_against_plain_python(spark):
+    rng = random.Random(21)
+    rows = [("".join(rng.choice("abé \n") for _ in range(rng.randint(0, 40))), rng.randint(0, 1)) for _ in range(200)] + [(None, 1), ("", 0)]
+    want = {f: [0, 0] for t, _ in rows for f in grams(t)}
+    for t, y in rows:
+        for f in grams(t):
+            want[f][1 - y] += 1
+    got = {r["feature"]: [r["pos"], r["neg"]] for r in quality._counts(spark.createDataFrame(rows, "text string, label int").repartition(4)).collect()}
+    assert got.pop(-1) == [sum(y for _, y in rows), sum(1 - y for _, y in rows)] and got == want
+
+
+def test_dual_descent_against_projected_gradient():
+    """The same dual problem by plain projected gradient steps over its whole matrix."""
+    rng = np.random.default_rng(22)
+    dims, n = 80, 50
+    ratio = rng.normal(size=dims)
+    rows = [np.sort(rng.choice(dims, rng.integers(3, 20), replace=False)) for _ in range(n)]
+    y = np.where(np.array([ratio[r].sum() for r in rows]) + rng.normal(0, 2, n) > 0, 1, -1)
+    x = np.zeros((n, dims + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r]
+    x[:, -1] = 1
+    most = quality.COST * n / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    q = (x @ x.T) * np.outer(y, y)
+    alpha, top = np.zeros(n), np.linalg.eigvalsh(q).max()
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / top, 0, most)
+    best = (alpha * y) @ x
+    w, b = quality.dual_descent(rows, y, ratio, epochs=400)
+    loss = lambda v: (v @ v) / 2 + (most * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert loss(np.append(w, b)) <= loss(best) * 1.01
+
+
+def test_line_recall_on_documents(spark):
+    """Of the lines that brute force over all pairs would drop, those that the operator drops; both by edit similarity alone."""
+    import duckdb
+
+    docs = duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    norm = lambda x: re.sub(line_dedup.NOISE, " ", x.translate(FOLD)).strip(" ")
+    lines = sorted({n for (t,) in docs for x in t.split("\n") for n in [norm(x)] if n.isascii() and 1 <= len(n) <= 700})
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l AS SELECT unnest(?) AS x", [lines])
+    con.execute("ALTER TABLE l ADD COLUMN n INTEGER; UPDATE l SET n = length(x)")
+    near = con.sql("SELECT a.x, b.x FROM l a JOIN l b ON a.n <= b.n AND a.x <> b.x AND (a.n < b.n OR a.x < b.x) AND a.n >= 0.8 * b.n - 1e-9 WHERE levenshtein(a.x, b.x) <= 0.2 * b.n + 1e-9").fetchall()
+    up = {x: x for x in lines}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in near:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    want = sum(root(x) != x for x in lines)
+    report = line_dedup.line_report(table(spark, lines)).collect()
+    assert want >= 10 and 0.9 * want <= sum(1 - r["n_kept"] for r in report) <= want
+    for r in report:  # nothing goes that has no like
+        assert r["n_kept"] or any(root(x) == root(lines[r["doc_id"]]) for x in lines if x != lines[r["doc_id"]])
