@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +197,36 @@ def three_channels(values: str = "values"):
     return F.transform(values, lambda v: F.struct(unit(v).alias("r"), unit(v).alias("g"), unit(v).alias("b")))
 
 
+def as_image(a: np.ndarray, depth: bool = False) -> np.ndarray:
+    """(h, w, 3) in [0, 1] of an image (samples of 8 or 16 bits or floats), in steps of 1 / 255 as a file of 8 bits would
+    hold it; or of a depth map, scaled over its finite positive depths, in three channels."""
+    if depth:
+        z = M.squeeze_map(np.asarray(a, np.float64))
+        ok = (z > 0) & np.isfinite(z)
+        low, high = (z[ok].min(), z[ok].max()) if ok.any() else (0.0, 0.0)
+        unit = np.clip((z - low) / (high - low), 0, 1) if high - low > 1e-8 else np.zeros(z.shape)
+        return np.repeat(np.nan_to_num(unit)[:, :, None], 3, axis=2)
+    top = np.iinfo(a.dtype).max if a.dtype.kind == "u" else 1.0
+    image = np.repeat(a[:, :, None], 3, axis=2) if a.ndim == 2 else M.channels_last(a)
+    return np.rint(np.clip(image / top, 0, 1) * 255) / 255
+
+
+def image_features(spark: SparkSession, root: str, model: Callable[[np.ndarray], np.ndarray], name: str, depth: bool = False) -> DataFrame:
+    """set (name), id (path), x: what the model makes of each image file (.npy or .png) of a folder or archive, for FID and
+    KID. The model is a callable from an image (h, w, 3) to a vector; it is sent to the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                read = M.loader(path.rsplit(".", 1)[-1].lower())
+                rows.append((path, np.asarray(model(as_image(read(body.as_py()), depth)), float).ravel().tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["set", "id", "x"])
+
+    files = contents(spark, root).where(F.lower("path").rlike(r"\.(npy|png)$"))
+    return files.mapInArrow(run, "set string, id string, x array<double>")
+
+
 def manifest_text(files: dict[str, str], meta: dict | None = None) -> str:
     """A manifest of file ids with their levels (a/b/id) -> path."""
     root: dict = {}

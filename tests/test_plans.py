@@ -172,3 +172,22 @@ def test_png():
         assert np.array_equal(png.decode(encode(a, colour)), a[:, :, :3] if colour == 6 else a)
     with pytest.raises(ValueError):
         png.decode(encode(a, 6)[:-20])
+
+
+def test_image_features(spark, tmp_path):
+    import numpy as np
+
+    from mapgauge.operators import distribution
+    from mapgauge.sources import datasets
+
+    rng = np.random.default_rng(4)
+    for k in range(5):
+        np.save(tmp_path / f"{k}.npy", rng.uniform(-0.2, 1.2, (6, 5, 3)))
+    (tmp_path / "note.txt").write_text("no image")
+    got = {r["id"]: r["x"] for r in datasets.image_features(spark, str(tmp_path), lambda a: a.mean(axis=(0, 1)), "gt").collect()}
+    want = np.rint(np.clip(np.load(tmp_path / "3.npy"), 0, 1) * 255).mean(axis=(0, 1)) / 255
+    assert sorted(got) == [f"{k}.npy" for k in range(5)] and np.allclose(got["3.npy"], want)
+    both = [datasets.image_features(spark, str(tmp_path), lambda a: a.mean(axis=(0, 1)), n) for n in ("gt", "pred")]
+    assert distribution.fid(both[0].unionByName(both[1])).first()[0] == pytest.approx(0, abs=1e-9)
+    z = datasets.as_image(np.array([[0.0, 2.0], [4.0, np.inf]]), depth=True)
+    assert z.shape == (2, 2, 3) and z[0, 1, 0] == 0 and z[1, 0, 2] == 1
