@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapgauge.llm.bytekit import distinct, flat, mix, shingles, slices, word_hashes
-from mapgauge.llm.common import discard, fresh, quoted, stored, table, text_of
+from mapgauge.llm.common import LOWER, UPPER, WORD, discard, fresh, quoted, stored, table, text_of
 from mapgauge.llm.components import link_buckets
 
 WORDS = 5
@@ -350,3 +350,15 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 def op9_ngram_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents")).drop("th")
+
+
+#: The same by a plain join of all shingles, and components by walking along links.
+ORACLE = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+    i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {WORDS - 2}, 2))) AS k FROM w WHERE len(ws) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + {WORDS - 1}], ' ') AS shingle FROM i),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * both_ >= {PERCENT} * (x.n + y.n - both_)),
+    r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+    SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""

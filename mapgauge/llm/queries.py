@@ -24,6 +24,7 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 ORACLES = {
     "op7_chat": chat.ORACLE,
+    "op9_ngram_join": ngram_join.ORACLE,
     "op10_licenses": licenses.ORACLE,
     "op4_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {ASCII_LOWER} AS t FROM documents),
