@@ -54,8 +54,6 @@ def pairs_of(spark, gt: dict | str, pred: dict | str, modality: str, calibration
     manifests of ground truth and prediction list."""
     if str(_path(pred)).rstrip("/").endswith(".parquet"):
         return spark.read.parquet(_path(pred))
-    if modality == "rays":
-        raise ConfigError("rays are read from Parquet tables")
     as_dict = lambda x: x if isinstance(x, dict) or x is None else {"path": x}
     from mapgauge.sources.datasets import build_pairs
 
@@ -86,7 +84,7 @@ def evaluate(spark, config: dict, alignment: str = "auto_affine", benchmark: tup
             elif m == "rgb":
                 r = E.evaluate_rgb(table, "sky" in table.columns, "depth" in table.columns, benchmark)
             else:
-                r = E.evaluate_rays(table, domain)
+                r = E.evaluate_rays(table, domain, "sky" if "sky" in table.columns else None)
             metrics = r.metrics.collect()
             tree = to_tree(metrics) | {"dataset_info": info, "meta": r.info, "warnings": [w.asDict() for w in r.report.collect()], "files": file_tree(r.per_image.toLocalIterator(), m)}
             if log is not None:

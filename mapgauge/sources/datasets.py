@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapgauge.functions import masks
@@ -149,11 +149,15 @@ def aligned(pairs: DataFrame, maps: dict[str, str], channels: int = 1) -> DataFr
     return kept.mapInArrow(run, schema)
 
 
+def _unit(values: str, low: float, high: float) -> Column:
+    return F.transform(values, lambda v: (v - low) / (high - low))
+
+
 def build_pairs(spark: SparkSession, gt: dict, pred: dict, kind: str, calibration: dict | None = None, segmentation: dict | None = None) -> DataFrame:
     """Image pairs of a ground truth and a prediction as mapgauge.plans.evaluate takes them.
 
     Each dataset is {path, loader, split, manifest}; path is a folder or zip archive with a manifest at its root. kind is
-    depth (gt, pred) or rgb (gr ... pb in [0, 1]). calibration adds the nearest matrix at an ancestor level as fx, fy, cx,
+    depth (gt, pred), rgb (gr ... pb in [0, 1]) or rays (directions; a row a ray: gx ... pz). calibration adds the nearest matrix at an ancestor level as fx, fy, cx,
     cy; segmentation adds sky (class 1 or true). No sample in all modalities raises.
     """
     found = {}
@@ -164,8 +168,7 @@ def build_pairs(spark: SparkSession, gt: dict, pred: dict, kind: str, calibratio
     for name, d in (("gt", gt), ("pred", pred)):
         a = decoded(spark, d["path"], both.select("hierarchy", "file_id", F.col(name).alias("path")), d.get("loader", "npy"))
         if kind == "rgb":
-            low, high = M.metadata(found[name], "rgb")["rgb_range"]
-            a = a.withColumn("values", F.transform("values", lambda v, low=low, high=high: (v - low) / (high - low)))
+            a = a.withColumn("values", _unit("values", *M.metadata(found[name], "rgb")["rgb_range"]))
         maps[name] = a.select("hierarchy", "file_id", F.col("values").alias(name), F.col("height").alias(f"{name}_height"), F.col("width").alias(f"{name}_width"))
     pairs = maps["gt"].join(maps["pred"], match.KEY).withColumns({"height": F.col("pred_height"), "width": F.col("pred_width")})
     masked = {}
@@ -180,7 +183,12 @@ def build_pairs(spark: SparkSession, gt: dict, pred: dict, kind: str, calibratio
         k = k.select("hierarchy", "file_id", at(0).alias("fx"), at(4).alias("fy"), at(2).alias("cx"), at(5).alias("cy"))
         pairs = match.attach_ancestor(pairs, k, ["fx", "fy", "cx", "cy"])
     pairs = pairs.withColumn("img", F.array_join(F.concat("hierarchy", F.array("file_id")), "/")).drop(*match.KEY)
-    out = aligned(pairs, {"gt": "values", "pred": "values", **masked}, 3 if kind == "rgb" else 1)
+    out = aligned(pairs, {"gt": "values", "pred": "values", **masked}, 1 if kind == "depth" else 3)
+    if kind == "rays":
+        axes = [f"{n}_{c}" for n in ("gt", "pred") for c in "rgb"]
+        z = F.explode(F.arrays_zip(*axes, *masked)).alias("z")
+        named = [F.col(f"z.{a}").alias(a[0] + "xyz"["rgb".index(a[-1])]) for a in axes]
+        return out.select("img", z).select("img", *named, *[(F.coalesce(F.col(f"z.{m}"), F.lit(0.0)) > 0).alias(m) for m in masked])
     if kind == "rgb":
         out = out.withColumnsRenamed({f"{n}_{c}": n[0] + c for n in ("gt", "pred") for c in "rgb"})
     if masked:

@@ -191,3 +191,27 @@ def test_image_features(spark, tmp_path):
     assert distribution.fid(both[0].unionByName(both[1])).first()[0] == pytest.approx(0, abs=1e-9)
     z = datasets.as_image(np.array([[0.0, 2.0], [4.0, np.inf]]), depth=True)
     assert z.shape == (2, 2, 3) and z[0, 1, 0] == 0 and z[1, 0, 2] == 1
+
+
+def test_rays_and_images_from_files(spark, tmp_path):
+    import numpy as np
+
+    from mapgauge.sources import datasets
+
+    rng = np.random.default_rng(9)
+    maps = {}
+    for name in ("gt", "pred"):
+        (tmp_path / name).mkdir()
+        for k in range(2):
+            maps[name, k] = rng.normal(size=(4, 5, 3)) + [0, 0, 5]
+            np.save(tmp_path / name / f"{k}.npy", maps[name, k])
+        (tmp_path / name / "output.json").write_text(datasets.manifest_text({f"s/{k}": f"{k}.npy" for k in range(2)}, {"rgb_range": [0, 10]}))
+    gt, pred = ({"path": str(tmp_path / n)} for n in ("gt", "pred"))
+    px = datasets.build_pairs(spark, gt, pred, "rays")
+    first = sorted((r["gx"], r["gy"], r["gz"], r["px"], r["py"], r["pz"]) for r in px.where("img = 's/0'").collect())
+    assert np.allclose(first, sorted(map(tuple, np.concatenate([maps["gt", 0], maps["pred", 0]], axis=2).reshape(-1, 6).tolist())))
+    got = by_key(evaluate.evaluate_rays(px))
+    cos = [(g * p).sum(-1) / np.linalg.norm(g, axis=-1) / np.linalg.norm(p, axis=-1) for g, p in ((maps["gt", k], maps["pred", k]) for k in range(2))]
+    assert got["", "angular_error", "", "", "mean_angle"] == pytest.approx(np.degrees(np.arccos(np.concatenate(cos))).mean())
+    rgb = {r["img"]: r for r in datasets.build_pairs(spark, gt, pred, "rgb").collect()}
+    assert np.allclose(rgb["s/1"]["pg"], maps["pred", 1][:, :, 1].ravel() / 10)
