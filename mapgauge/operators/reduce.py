@@ -36,15 +36,30 @@ def standard_columns() -> dict[str, Column]:
     }
 
 
-def standard_reducers(stats: DataFrame) -> DataFrame:
-    """reduction (image_mean, image_median, pixel_pool) and the ten metrics, in one pass over a row an image: images
-    without valid pixels and non-finite values don't count, the pool is made of the summed statistics."""
+#: Images whose values one task may sort for a median.
+MANY = 1_000_000
+
+
+def medians(per: DataFrame, columns: list[str], many: bool = False) -> DataFrame:
+    """One row with the median of each column's finite values; with many rows they are counted in bins and not gathered."""
+    if not many:
+        return per.agg(*[F.percentile(only_finite(c), 0.5).alias(c) for c in columns])
+    found = pooled_quantiles(per, {c: F.col(c) for c in columns}, [0.5])
+    return found.agg(*[F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns])
+
+
+def standard_reducers(stats: DataFrame, many: bool = False) -> DataFrame:
+    """reduction (image_mean, image_median, pixel_pool) and the ten metrics, from a row an image: images without valid pixels
+    and non-finite values don't count, the pool is made of the summed statistics. One pass, unless there are many images."""
     per = stats.withColumns({m: only_finite(c) for m, c in standard_columns().items()})
     mean = F.struct(F.lit("image_mean").alias("reduction"), *[F.avg(m).alias(m) for m in STANDARD])
     median = F.struct(F.lit("image_median").alias("reduction"), *[F.percentile(m, 0.5).alias(m) for m in STANDARD])
-    one = per.agg(mean.alias("mean"), median.alias("median"), *[F.sum(c).alias(c) for c in _STATS])
+    one = per.agg(mean.alias("mean"), *([] if many else [median.alias("median")]), *[F.sum(c).alias(c) for c in _STATS])
     pool = F.struct(F.lit("pixel_pool").alias("reduction"), *[c.alias(m) for m, c in standard_columns().items()])
-    return one.select(F.explode(F.array("mean", "median", pool)).alias("r")).select("r.*")
+    out = one.select(F.explode(F.array("mean", *([] if many else ["median"]), pool)).alias("r")).select("r.*")
+    if many:
+        out = out.unionByName(medians(per, list(STANDARD), True).withColumn("reduction", F.lit("image_median")))
+    return out
 
 
 def depth_errors(px: DataFrame, mask: Column | None = None) -> DataFrame:

@@ -67,7 +67,8 @@ def _depth_space(pairs: DataFrame, space: str, sky: bool, benchmark: tuple[float
     ok = masks.valid(sky="sky" if sky else None)
     stats = cut(reduce.pixel_stats(px, ["img"], ok))
     ten = {m: m for m in reduce.STANDARD}
-    parts = [long_table(reduce.standard_reducers(stats), "depth", space, "standard", ten)]
+    many = stats.count() > reduce.MANY
+    parts = [long_table(reduce.standard_reducers(stats, many), "depth", space, "standard", ten)]
     errors = reduce.depth_errors(px, ok)
     values = {"absrel": F.col("absrel"), "rmse": F.col("err"), "silog": F.col("logerr")}
     q = _quantiles(errors, values, {"median": 0.5, "p90": 0.9})
@@ -92,9 +93,9 @@ def _depth_space(pairs: DataFrame, space: str, sky: bool, benchmark: tuple[float
     parts += _normals(angles, space)
     if benchmark:
         inside = px.where(ok & masks.finite("pred"))
-        b = reduce.binned_stats(inside, masks.benchmark_bin("gt", *benchmark), ["img"])
+        b = cut(reduce.binned_stats(inside, masks.benchmark_bin("gt", *benchmark), ["img"]))
         for name in ("all", "near", "mid", "far"):
-            rows = reduce.standard_reducers(b.where(F.col("bin") == name)).withColumn("bin", F.lit(name))
+            rows = reduce.standard_reducers(b.where(F.col("bin") == name), many).withColumn("bin", F.lit(name))
             parts.append(long_table(rows, "depth", space, "standard", ten))
         by_bin = cut(images.normal_angles(hole, benchmark))
         for name in ("all", "near", "mid", "far"):
@@ -195,7 +196,8 @@ def evaluate_rays(px: DataFrame, domain: str = "lfov", sky: str | None = None) -
     norm = lambda s: F.sqrt(sum((F.col(s + c) ** 2 for c in "yz"), F.col(s + "x") ** 2))
     unit = px.where(masks.ray_valid("gx", "gy", "gz", "px", "py", "pz")).groupBy("img").agg(F.abs(F.avg(norm("g")) - 1).alias("gt_norm_deviation"), F.abs(F.avg(norm("p")) - 1).alias("pred_norm_deviation"), F.count(F.lit(1)).alias("n"))
     per = cut(rays.per_image(errors, rays.domain_threshold(domain)).join(unit, "img"))
-    r = per.agg(F.avg("rho_a").alias("mean"), F.percentile("rho_a", 0.5).alias("median"), F.stddev_pop("rho_a").alias("std"))
+    middle = reduce.medians(per, ["rho_a"], per.count() > reduce.MANY).withColumnRenamed("rho_a", "median")
+    r = per.agg(F.avg("rho_a").alias("mean"), F.stddev_pop("rho_a").alias("std"))
     shares = rays.angular_summary(errors)
-    parts = [long_table(r, "rays", "", "rho_a", {c: c for c in r.columns}), long_table(shares, "rays", "", "angular_error", {c: c for c in shares.columns}), long_table(reduce.histogram_median(errors, "angle"), "rays", "", "angular_error", {"median_angle": "median_angle"})]
+    parts = [long_table(r, "rays", "", "rho_a", {c: c for c in r.columns}), long_table(middle, "rays", "", "rho_a", {"median": "median"}), long_table(shares, "rays", "", "angular_error", {c: c for c in shares.columns}), long_table(reduce.histogram_median(errors, "angle"), "rays", "", "angular_error", {"median_angle": "median_angle"})]
     return Result(_union(parts), per, rules.report(rules.warnings(per, "rays", complete=True)), {"domain": domain})

@@ -24,6 +24,14 @@ def test_standard_metrics_and_reducers(spark):
     assert got["pixel_pool"]["delta1"] == pytest.approx(1 / 5)
 
 
+def test_medians_of_many_images(spark):
+    rng = np.random.default_rng(2)
+    d = px(spark, [[(g, p) for g, p in rng.uniform(1, 5, (4, 2))] for _ in range(41)] + [[(0, 1)]])
+    stats = reduce.pixel_stats(d, ["img"])
+    few, many = ({r["reduction"]: r.asDict() for r in reduce.standard_reducers(stats, m).collect()} for m in (False, True))
+    assert few.keys() == many.keys() and all(many[k][m] == pytest.approx(few[k][m]) for k in few for m in reduce.STANDARD)
+
+
 def test_empty_masks_give_null(spark):
     d = px(spark, [[(0, 1), (float("nan"), 2)]])
     r = reduce.pixel_stats(d, ["img"]).select(*[c.alias(m) for m, c in reduce.standard_columns().items()]).first()
