@@ -21,6 +21,8 @@ from mapgauge.llm.common import fresh, stored, table, text_of
 
 DIMS = 1 << 16
 FIT_ROWS = 5_000
+#: Labels that may be broadcast: 16 bytes each.
+FEW_LABELS = 1_000_000
 EPOCHS = 12
 COST = 0.1
 SMOOTH = 1.0
@@ -127,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     known = labels.select(F.col(f"`{id_col}`").alias("l_id"), F.col(f"`{label_col}`").cast("double").alias("v")).where("v IS NOT NULL AND l_id IS NOT NULL")
     known = known.where(~held_out(F.col("l_id"))).groupBy("l_id").agg(F.when(F.avg("v") >= 0.5, 1).otherwise(0).alias("label"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).where(~held_out(F.col("id")))
-    # labels that meet a document, found by identifiers alone; as a stored table of known size it is broadcast where small
+    # labels that meet a document, found by identifiers alone; texts are moved only to more of them than may be broadcast
     known = stored(known.join(texts.select(F.col("id").alias("l_id")), "l_id", "left_semi"))
+    known = F.broadcast(known) if known.count() <= FEW_LABELS else known
     counted = {r["feature"]: (r["pos"], r["neg"]) for r in _counts(texts.join(known, F.col("id") == F.col("l_id"))).collect()}
     pos, neg = counted.pop(-1, (0, 0))
     if not pos or not neg:
