@@ -316,6 +316,30 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_ngram_join_at_the_bound(spark):
+    """Pairs whose similarity is just above or below the bound, around the edges of bands and steps; and near misses that
+    share a passage."""
+    rng = random.Random(77)
+    voc = [f"w{i}" for i in range(5000)]
+    some = lambda n: [rng.choice(voc) for _ in range(max(1, n))]
+    texts = []
+    for n in (36, 63, 67, 68, 80, 100, 129, 131, 132, 133, 200, 259, 260, 400, 515, 640):
+        for _ in range(3):
+            w = some(n)
+            texts.append(" ".join(w))
+            for extra in (-1, 0, 1):
+                texts.append(" ".join(w[: n - max(1, round((n - 4) * 0.2) + extra)]))
+                texts.append(" ".join(w + some(round((n - 4) * 0.25) + extra)))
+                x = list(w)
+                for k in rng.sample(range(n), max(1, (n - 4) // 45 + extra)):
+                    x[k] = rng.choice(voc)
+                texts.append(" ".join(x))
+    passage = some(90)
+    texts += [" ".join(passage[: rng.choice([60, 70, 80])] + some(rng.choice([8, 12, 16, 20]))) for _ in range(100)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(table(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200 + i) for i in range(30)]
     got = {r["node"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
