@@ -91,6 +91,16 @@ def _rarest(open_: DataFrame, slack: DataFrame) -> DataFrame:
     return ranked.join(slack, "node").where(F.col("rank") > F.col("slack")).select("key", "node", "comp")
 
 
+def _once(open_: DataFrame) -> DataFrame:
+    """open_ with one key of all that have the same nodes, and none that has a single node.
+
+    Nodes that share many keys, as near copies do, would meet again in each of them. Sets of nodes are told apart by their
+    number and 128 bits of hashes; a key's nodes are distinct.
+    """
+    sets = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")).where("n > 1")
+    return open_.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def _pairs(open_: DataFrame, facts: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
     """Distinct pairs of nodes of different components that share a key and whose facts don't rule a link out.
 
@@ -141,6 +151,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
     if slack is not None:
         was, open_ = open_, stored(_rarest(open_, slack))
         discard(was)
+    was, open_ = open_, stored(_once(open_))
+    discard(was)
     pairs = stored(_pairs(open_, facts, near))
     discard(open_)
     new = stored(verify(pairs.withColumn("shared", F.lit(None).cast("long"))))
