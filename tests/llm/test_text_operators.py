@@ -3,6 +3,7 @@ columns whose names clash with internal ones."""
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mapgauge.llm import bytekit, chat, components, exact_dedup, licenses, line_dedup, media, mixing, ngram_join, packing, pii, quality, queries
+from mapgauge.llm import bytekit, chat, common, components, exact_dedup, licenses, line_dedup, media, mixing, ngram_join, packing, pii, quality, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -346,6 +347,23 @@ def test_components_of_a_path_and_a_star(spark):
     assert {got[i] for i in range(41)} == {0} and {got[200 + i] for i in range(30)} == {100}
 
 
+def test_nodes_that_share_many_keys_meet_once(spark):
+    sets = {1: "abc", 2: "abc", 3: "ab", 4: "a", 5: "cd", 6: "dc", 7: "bcd"}
+    rows = [(k, ord(x), ord(x)) for k, nodes in sets.items() for x in nodes]
+    left = components._once(spark.createDataFrame(rows, "key long, node long, comp long")).collect()
+    assert sorted((r["key"], chr(r["node"])) for r in left) == [(k, x) for k in (1, 3, 5, 7) for x in sorted(sets[k])]
+
+
+def test_stored_tables_start_few_processes(spark):
+    """On a local file system each file of checksums and each mark of success would cost one."""
+    kept = common.stored(spark.range(40, numPartitions=4))
+    files = os.listdir(kept.stored_at.removeprefix("file:"))
+    assert len(files) == 4 and all(f.startswith("part-") for f in files)
+    assert sorted(r["id"] for r in kept.collect()) == list(range(40))
+    common.discard(kept)
+    assert not os.path.exists(kept.stored_at.removeprefix("file:"))
+
+
 def test_shingle_kit():
     import pyarrow as pa
 
