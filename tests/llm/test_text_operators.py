@@ -460,6 +460,18 @@ def test_line_dedup_finds_what_brute_force_finds(spark):
     assert got == {i: int(root(i) == i) for i in range(len(lines))}
 
 
+def test_lines_with_one_run_in_common(spark):
+    """A letter is other in all words but a run, wherever that is."""
+    rng = random.Random(14)
+    lines = []
+    for n, run in ((3, 1), (4, 2), (6, 2), (7, 3), (9, 3), (12, 3), (13, 4), (15, 4)) * 6:
+        w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n)]
+        at = rng.randint(0, n - run)
+        lines += [" ".join(w), " ".join(x if at <= k < at + run else x[:4] + "z" + x[5:] for k, x in enumerate(w))]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_report(table(spark, lines)).collect()}
+    assert got == {i: 1 - i % 2 for i in range(len(lines))}
+
+
 def test_long_lines_are_compared_exactly(spark):
     rng = random.Random(12)
     base = "".join(rng.choice("abcdefghij ") for _ in range(3000))
