@@ -354,6 +354,21 @@ def test_nodes_that_share_many_keys_meet_once(spark):
     assert sorted((r["key"], chr(r["node"])) for r in left) == [(k, x) for k in (1, 3, 5, 7) for x in sorted(sets[k])]
 
 
+def test_pairs_leave_the_join_in_one_of_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 3)
+    rng = random.Random(5)
+    # 0 to 9 share most of 200 keys; the others few of them with these and with one another
+    keys = {node: set(rng.sample(range(200), 150 if node < 10 else 4)) for node in range(40)}
+    rows = [(k, node, node // 2) for node in keys for k in keys[node]]
+    open_ = spark.createDataFrame(rows, "key long, node long, comp long")
+    facts = spark.createDataFrame([(node, node % 3) for node in keys], "node long, third long")
+    met = [(r["a"], r["b"]) for r in components._meetings(open_, facts, lambda a, b: F.col(f"{a}third") + F.col(f"{b}third") < 4).collect()]
+    true = {(a, b) for a in keys for b in keys if a < b and a // 2 != b // 2 and a % 3 + b % 3 < 4 and keys[a] & keys[b]}
+    assert set(met) == true
+    often = [x for x in met if x[1] < 10]
+    assert len(often) == len(set(often)) > 30
+
+
 def test_stored_tables_start_few_processes(spark):
     """On a local file system each file of checksums and each mark of success would cost one."""
     kept = common.stored(spark.range(40, numPartitions=4))
