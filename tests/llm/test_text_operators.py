@@ -369,6 +369,25 @@ def test_pairs_leave_the_join_in_one_of_their_keys(spark, monkeypatch):
     assert len(often) == len(set(often)) > 30
 
 
+def test_no_pair_is_verified_twice(spark):
+    """Where verify looks at a and b alone; the links stay the same."""
+    rng = random.Random(7)
+    members = spark.createDataFrame([(k, node) for k in range(12) for node in rng.sample(range(30), 6)], "key long, node long")
+    facts = spark.createDataFrame([(node, node) for node in range(30)], "node long, own long")
+    results, most = [], []
+    for once in (False, True):
+        given = collections.Counter()
+
+        def verify(pairs, given=given):
+            given.update({(r["a"], r["b"]) for r in pairs.select("a", "b").collect()})
+            return pairs.where("(a + b) % 5 = 0").select("a", "b")
+
+        labels = components.link_buckets(members, verify, facts, lambda a, b: F.lit(True), once=once)[1]
+        results.append({r["node"]: r["comp"] for r in labels.collect()})
+        most.append(max(given.values()))
+    assert results[0] == results[1] and most[0] > 1 and most[1] == 1
+
+
 def test_stored_tables_start_few_processes(spark):
     """On a local file system each file of checksums and each mark of success would cost one."""
     kept = common.stored(spark.range(40, numPartitions=4))
