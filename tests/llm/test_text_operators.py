@@ -673,3 +673,46 @@ def test_line_recall_on_documents(spark):
     assert want >= 10 and 0.9 * want <= sum(1 - r["n_kept"] for r in report) <= want
     for r in report:  # nothing goes that has no like
         assert r["n_kept"] or any(root(x) == root(lines[r["doc_id"]]) for x in lines if x != lines[r["doc_id"]])
+
+
+def test_characters_are_compared_last(spark):
+    """Of doubtful pairs that of least share between two components comes first, others only if that is no link."""
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (11, 11), (12, 11), (21, 21), (22, 21)], "node long, comp long")
+    # inside one component; two components by three pairs, of which the nearest is a link; two by pairs of which the other is;
+    # lines that nothing joins yet
+    pairs = [(1, 2, 0.1), (1, 11, 0.2), (2, 12, 0.1), (3, 11, 0.3), (11, 21, 0.1), (12, 22, 0.2), (30, 31, 0.1), (3, 32, 0.1)]
+    links, compared = {(2, 12), (12, 22), (30, 31), (1, 11)}, []
+
+    def linked(p):
+        compared.extend((r["a"], r["b"]) for r in p.collect())
+        return p.where(F.struct("a", "b").isin([F.struct(F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in links]))
+
+    got = line_dedup._with_doubtful(spark.createDataFrame(pairs, "a long, b long, share double"), labels, linked)
+    assert sorted(compared) == [(2, 12), (3, 32), (11, 21), (12, 22), (30, 31)]
+    assert {r["node"]: r["comp"] for r in got.collect()} == dict.fromkeys([1, 2, 3, 11, 12, 21, 22], 1) | {30: 30, 31: 30}
+    got = line_dedup._with_doubtful(spark.createDataFrame(pairs[6:7], "a long, b long, share double"), None, linked)
+    assert {r["node"]: r["comp"] for r in got.collect()} == {30: 30, 31: 30}
+    none = spark.createDataFrame([(7, 8, 0.1)], "a long, b long, share double")
+    assert line_dedup._with_doubtful(none, None, linked) is None
+
+
+def test_keys_with_the_same_nodes_are_one_from_the_start(spark):
+    """The one counts as often as the keys it stands for: node 3 shares more keys with 1 than with 5."""
+    rows = [(k, n) for k in range(4) for n in (1, 2, 3)] + [(k, n) for k in (10, 11) for n in (3, 5)] + [(20, 5)]
+    once = components._once(spark.createDataFrame(rows, "key long, node long"))
+    assert sorted((r["key"], r["node"], r["weight"]) for r in once.collect()) == [(0, 1, 4), (0, 2, 4), (0, 3, 4), (10, 3, 2), (10, 5, 2)]
+    star = components._star(once.withColumn("comp", F.col("node")), 0).collect()
+    assert sorted((r["a"], r["b"], r["shared"]) for r in star) == [(1, 3, 4), (2, 3, 4), (3, 5, 2)]
+
+
+def test_simhash_of_many_words(spark):
+    """A bit is set if it is in more than half of the distinct words' hashes, whatever their number."""
+    lines = [" ".join(f"w{i}" for i in range(n)) for n in (1, 2, 126, 127, 128, 255, 300, 1000)]
+    got = line_dedup.simhashes(spark.createDataFrame(list(enumerate(lines)), "node long, line string")).collect()
+    words = spark.createDataFrame([(f"w{i}",) for i in range(1000)], "w string").select("w", F.xxhash64("w").alias("h0"), F.xxhash64(F.lit(1), "w").alias("h1"))
+    hashes = {r["w"]: (r["h0"], r["h1"]) for r in words.collect()}
+    assert len(got) == len(lines)
+    for r in got:
+        h = [hashes[w] for w in lines[r["node"]].split(" ")]
+        want = [sum(1 << b for b in range(64) if 2 * sum(x[k] >> b & 1 for x in h) > len(h)) for k in (0, 1)]
+        assert [r["sim0"] % 2**64, r["sim1"] % 2**64] == want and r["n_words"] == len(h)
