@@ -506,6 +506,23 @@ def test_lines_with_one_run_in_common(spark):
     assert got == {i: 1 - i % 2 for i in range(len(lines))}
 
 
+def test_near_copies_of_part_of_a_longer_line_are_linked_by_stars(spark, monkeypatch):
+    """The longer line shares all keys with each of them, but can't be similar: their representative is one of their own."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+    lines = [" ".join([*words, *(f"v{i}" for i in range(60))])]
+    for k in range(30):
+        lines.append(" ".join(f"x{k}" if i == at else w for at in [rng.randrange(60)] for i, w in enumerate(words)))
+    given = []
+
+    def counted(*args, last, **more):
+        return components.link_buckets(*args, last=lambda pairs: (given.append(pairs.count()), last(pairs))[1], **more)
+
+    monkeypatch.setattr(line_dedup, "link_buckets", counted)
+    kept = [r["doc_id"] for r in line_dedup.line_report(table(spark, lines)).collect() if r["n_kept"]]
+    assert sorted(kept) == [0, 1] and sum(given) < len(lines)
+
+
 def test_long_lines_are_compared_exactly(spark):
     rng = random.Random(12)
     base = "".join(rng.choice("abcdefghij ") for _ in range(3000))
