@@ -84,13 +84,28 @@ def warnings(per_image: DataFrame, modality: str, file_id: str = "img", rules: t
     return per_image.select(F.col(file_id).alias("file_id"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("w")).select("file_id", "w.*")
 
 
+#: Parts that a group's files are dealt into, to find which of them may be among the first.
+PARTS = 16
+
+
 def report(found: DataFrame, samples: int = 5) -> DataFrame:
-    """metric, type, count, first message, up to `samples` observed values in file order. Sample lists stay bounded: only
-    rows among the first of each group in a file-order window per partition could be taken, here the smallest file ids."""
+    """metric, type, count, first message, up to `samples` observed values in file order (equal files by value).
+
+    found is read twice and not sorted: a group's rows are dealt into PARTS parts by hash, and of the parts' least rows the
+    `samples`-th bounds the first `samples` of all, so that only the few rows up to it are ranked. Without a bound are groups
+    whose rows fill fewer parts, and more samples than parts: there all rows are ranked.
+    """
     from pyspark.sql import Window
 
-    first = Window.partitionBy("metric", "type").orderBy("file_id")
-    counts = found.groupBy("metric", "type").agg(F.count(F.lit(1)).alias("count"), F.min_by("message", "file_id").alias("message"))
-    top = found.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= samples)
-    lists = top.groupBy("metric", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "observed"))), lambda x: x["observed"]).alias("samples"))
-    return counts.join(lists, ["metric", "type"])
+    at = F.struct("file_id", "observed")
+    part = F.pmod(F.xxhash64("file_id", "observed"), F.lit(PARTS))
+    least = [F.min(F.when(part == k, at)) for k in range(PARTS)]
+    # a set among them keeps the groups in a hash table; structs and strings alone would be aggregated by sorting all rows
+    groups = found.groupBy("metric", "type").agg(F.count(F.lit(1)).alias("count"), F.min_by("message", at).alias("message"), F.array(*least).alias("least"), F.collect_set(part).alias("parts"))
+    bound = F.when(F.size("parts") >= samples, F.get(F.array_sort(F.array_compact("least")), samples - 1))
+    groups = F.broadcast(groups.select("metric", "type", "count", "message", bound.alias("bound")))
+    first = Window.partitionBy("metric", "type").orderBy("file_id", "observed")
+    top = found.select("metric", "type", "file_id", "observed").join(groups, ["metric", "type"]).where(F.col("bound").isNull() | (at <= F.col("bound")))
+    top = top.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= samples)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("rn", "observed"))), lambda x: x["observed"])
+    return top.groupBy("metric", "type").agg(F.first("count").alias("count"), F.first("message").alias("message"), values.alias("samples"))

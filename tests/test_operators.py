@@ -135,6 +135,16 @@ def test_rules(spark):
     assert len(r) == 1 and r[0]["count"] == 7 and len(r[0]["samples"]) == 5 and r[0]["type"] == "silog_too_high"
 
 
+def test_rule_report_ranks_few_rows_and_sorts_no_others(spark):
+    rows = [(f"{i * 7919 % 1000:03d}", 0.6 + i / 1000) for i in range(1000)] + [("000", 0.55), ("000", 0.55)]
+    r = rules.report(rules.warnings(spark.createDataFrame(rows, "img string, silog double"), "depth"))
+    assert "SortAggregate" not in r._jdf.queryExecution().executedPlan().toString()
+    got = r.collect()
+    assert len(got) == 1 and got[0]["count"] == 1002 and got[0]["samples"] == [v for _, v in sorted((i, v) for i, v in rows)[:5]]
+    few = rules.report(rules.warnings(spark.createDataFrame([("b", 0.7), ("a", 0.6), ("a", 0.6)], "img string, silog double"), "depth")).collect()
+    assert few[0]["samples"] == [0.6, 0.6, 0.7] and few[0]["message"].startswith("silog silog 0.600000 is ")
+
+
 def test_sinks(tmp_path):
     assert sinks.clean({"a": float("nan"), "b": {"c": None}, "d": [{"e": None}], "f": 1}) == {"d": [{}], "f": 1}
     tree = sinks.set_value({}, ["s", "t"], "1", {"m": 1})
